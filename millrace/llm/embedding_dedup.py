@@ -104,7 +104,7 @@ class MultiIndex:
         for k in range(len(q)):
             b = np.sort(second[k])
             limit = first[k, cell[k] // self.sizes[1]] + second[k, cell[k] % self.sizes[1]]
-            out[k] = np.searchsorted(b, limit - first[k], side="right").sum()
+            out[k] = np.searchsorted(b, limit - first[k] + 1e-9, side="right").sum()
         return np.maximum(out, 1)
 
 

@@ -94,6 +94,7 @@ class EliasFano:
         """Values start to stop - 1 as unsigned 64-bit integers, made for these alone."""
         import numpy as np
 
+        stop = min(stop, self.n)
         if start >= stop:
             return np.zeros(0, np.uint64)
         a = int(np.searchsorted(self.before, start, side="right")) - 1
