@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -131,16 +131,22 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 300, ridge: float
 
 def training_sample(docs: DataFrame, per_language: int, languages: int, id_col: str, text_col: str, lang_col: str) -> list:
     """(text, language) of the chosen texts; the rows of `docs` are those that may be learnt from."""
-    some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t"))
-    common = [r.y for r in some.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(languages).collect()]
+    some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    some = some.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
+    common = some.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "y").limit(languages).collect()
     if not common:
         return []
-    some = some.filter(F.col("y").isin(common))
-    order = Window.partitionBy("y").orderBy("h", "i")
-    ids = some.select("i", "y", F.xxhash64("i").alias("h")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    chosen = sorted({r.i for r in ids.select("i").collect() if r.i is not None})
-    rows = some.filter(F.col("i").isin(chosen)).collect()
-    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.i, r.t))]
+    # hashes are uniform: below this bound lie about twice the ids that are needed, however large the table is
+    bound = {r.y: max(r.least, min(2**63 - 1, -(2**63) + int(2**64 * (2 * per_language + 100) / r.n))) for r in common}
+    table = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
+    ids = some.filter(F.col("h") <= table[F.col("y")]).select("y", "h", "i").distinct().collect()
+    chosen, taken = set(), Counter()
+    for r in sorted(ids):
+        taken[r.y] += 1
+        if taken[r.y] <= per_language:
+            chosen.add(r.i)
+    rows = some.filter(F.col("i").isin(sorted(chosen)) & F.col("y").isin(list(bound))).dropDuplicates(["i", "y", "t"]).collect()
+    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.h, r.i, r.t))]
 
 
 def train(docs: DataFrame, per_language: int = 300, languages: int = 64, landmarks: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
