@@ -15,8 +15,8 @@ class SourceError(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str, header: bool, columns: list[str] | None = None, delimiter: str = ",", quotechar: str = '"', lineterminator: str | None = None, width: int | None = None) -> DataFrame:
-    """All columns as strings; without a header they are COL_0, COL_1 ... Empty fields are empty strings."""
-    reader = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("multiLine", True).option("header", header).option("emptyValue", "").option("nullValue", "\0").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    """All columns as strings; without a header they are COL_0, COL_1 ... Empty fields, quoted or not, are null."""
+    reader = spark.read.option("sep", delimiter).option("quote", quotechar).option("escape", quotechar).option("multiLine", True).option("header", header).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if lineterminator and lineterminator not in ("\n", "\r\n", "\r"):
         reader = reader.option("lineSep", lineterminator)
     if not header:
@@ -24,7 +24,8 @@ def read_csv(spark: SparkSession, path: str, header: bool, columns: list[str] |
         columns = [f"COL_{k}" for k in range(width)]
     if columns:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    return reader.csv(path)
+    df = reader.csv(path)
+    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
 def check_header(columns: list[str], fields: list[tuple[int | None, str | None]]) -> list[str]:
