@@ -196,6 +196,14 @@ class Scanner:
 _SCANNERS: dict[tuple, Scanner] = {}
 
 
+def _scanner(rules: tuple[Rule, ...]) -> Scanner:
+    """The worker's scanner of these rules."""
+    key = tuple((r.kind, r.pattern) for r in rules)
+    if key not in _SCANNERS:
+        _SCANNERS[key] = Scanner(rules)
+    return _SCANNERS[key]
+
+
 def scan(docs: DataFrame, extra: tuple[Rule, ...] = MORE, text_col: str = "text") -> DataFrame:
     """All columns of docs with found: array of (kind, start, end), by start and then by rule. BASE comes before `extra`."""
     rules = BASE + extra
@@ -206,14 +214,12 @@ def scan(docs: DataFrame, extra: tuple[Rule, ...] = MORE, text_col: str = "text"
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        key = tuple((r.kind, r.pattern) for r in rules)
-        if key not in _SCANNERS:
-            _SCANNERS[key] = Scanner(rules)
+        scanner = _scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                spans = _SCANNERS[key].spans([t or "" for t in part.column(text).to_pylist()])
+                spans = scanner.spans([t or "" for t in part.column(text).to_pylist()])
                 found = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*names, "found"])
 
@@ -238,27 +244,31 @@ def digest(docs: DataFrame, extra: tuple[Rule, ...] = MORE, id_col: str = "doc_i
 
 
 def redact(docs: DataFrame, extra: tuple[Rule, ...] = MORE, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of every rule replaced by `mark`; spans that touch or overlap become one."""
-    names = docs.columns
-    found = scan(docs, extra, text_col)
-    text = found.columns.index(text_col)
+    """docs with every span of every rule replaced by `mark`; spans that touch or overlap become one.
+
+    Scanning and replacing are one pass, so that a task has one Python worker.
+    """
+    rules, text = BASE + extra, docs.columns.index(text_col)
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
+        scanner = _scanner(rules)
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if not spans:
-                    continue
-                out, at, old = [], 0, texts[i]
-                for s in spans:
-                    if not out or s["start"] > at:
-                        out += [old[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                texts[i] = "".join(out) + old[at:]
-            columns = list(batch.columns)[:-1]
-            columns[text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    return found.mapInArrow(run, found.drop("found").schema).select(*names)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                texts = part.column(text).to_pylist()
+                for i, spans in enumerate(scanner.spans([t or "" for t in texts])):
+                    if not spans:
+                        continue
+                    out, at, old = [], 0, texts[i]
+                    for start, _, end in spans:
+                        if not out or start > at:
+                            out += [old[at:start], mark]
+                        at = max(at, end)
+                    texts[i] = "".join(out) + old[at:]
+                columns = list(part.columns)
+                columns[text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
