@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from millrace.functions import dates, keys, rules, transforms
 from millrace.operators import history as H
 from millrace.operators import verdict as V
+from millrace.plans.load import Loader
 from millrace.sources import scan
+from millrace.sources.snapshots import Snapshots, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -461,3 +464,86 @@ def bookmark_filter(spark, d):
 def job_summary(spark, d):
     bad = F.count_if(F.col("o_totalprice") > 200000)
     return _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("LOADED_COUNT"), bad.alias("QUARANTINE_COUNT"), F.when(bad > 0, "COMPLETED_WITH_QUARANTINE").otherwise("COMPLETED").alias("RESULT"))
+
+
+# ---- whole loads from specifications
+
+
+def _spec(change: str, key: str, fields: list[dict], **control) -> dict:
+    return {"id": "t", "control_data": {"change_type": change, "business_key": {"fields": [key]}, **control}, "source": {"format": "table", "schema": "src", "table": "s"}, "target": {"id": "t", "schema": "out", "fields": fields}}
+
+
+def _field(name: str, column: str, kind: str, **more) -> dict:
+    return {"id": name, "source": {"column": column}, "data_type": kind, **more}
+
+
+def _load(spark, store: Snapshots, spec: dict, source: DataFrame) -> DataFrame:
+    Loader(spark, spec, store, source=source, run_at=datetime(2026, 1, 1)).run()
+    return store.read("OUT.T")
+
+
+_CUSTOMER = [_field("customer_id", "c_custkey", "varchar(20)", nullable=False), _field("segment", "c_mktsegment", "varchar(20)", transforms=[{"type": "trim"}]), _field("balance", "c_acctbal", "number(12,1)")]
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) CUSTOMER_ID, trim(c_mktsegment) SEGMENT, sha256(CAST(c_custkey AS VARCHAR)) T_BUSINESS_KEY, TIMESTAMP '2026-01-01' AUDIT_CREATED_DATETIME, 'manual' AUDIT_DATA_PROCESS_KEY
+FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+def load_scd1(spark, d):
+    spec = _spec("scd1", "customer_id", _CUSTOMER, scd={"delete_detection": {"mode": "field", "field": "segment", "value": "BUILDING"}})
+    out = _load(spark, scratch(spark, "load-scd1"), spec, _t(spark, d, "customer"))
+    return out.select("CUSTOMER_ID", "SEGMENT", "T_BUSINESS_KEY", "AUDIT_CREATED_DATETIME", "AUDIT_DATA_PROCESS_KEY")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) C_CUSTKEY, CASE WHEN c_acctbal < 0 THEN 'field `balance` is less than 0' ELSE 'field `segment` is not one of the allowed values' END FAILURE_DETAILS
+FROM customer WHERE c_acctbal < 0 OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
+def load_quarantine(spark, d):
+    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER[1], "validations": [{"type": "allowed_values", "values": ["BUILDING", "MACHINERY"]}]}]
+    store = scratch(spark, "load-quarantine")
+    _load(spark, store, _spec("scd1", "customer_id", fields, failure_mode="quarantine_row"), _t(spark, d, "customer"))
+    return store.read("INTERMEDIATE.T__QUARANTINE").select("C_CUSTKEY", "FAILURE_DETAILS")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) CUSTOMER_ID, n AS VERSION, CASE n WHEN 1 THEN c_mktsegment ELSE 'MOVED' END SEGMENT,
+    CASE n WHEN 1 THEN TIMESTAMP '0001-01-01' ELSE TIMESTAMP '2026-02-01' END VALID_FROM_DATETIME,
+    CASE WHEN n = 1 AND c_custkey % 100 = 0 THEN TIMESTAMP '2026-01-31 23:59:59.999999' ELSE TIMESTAMP '9999-12-31 23:59:59' END VALID_TO_DATETIME,
+    CASE WHEN n = 1 AND c_custkey % 100 = 0 THEN 'N' ELSE 'Y' END IS_CURRENT_FLAG FROM customer, (VALUES (1), (2)) v(n) WHERE n = 1 OR c_custkey % 100 = 0""")
+def load_scd2_auto(spark, d):
+    c, store = _t(spark, d, "customer"), scratch(spark, "load-auto")
+
+    def spec(at):
+        return _spec("scd2_auto", "customer_id", _CUSTOMER, scd={"insert_time": at})
+
+    _load(spark, store, spec("2026-01-01T00:00:00Z"), c)
+    out = _load(spark, store, spec("2026-02-01T00:00:00Z"), c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 100 == 0, "MOVED").otherwise(F.col("c_mktsegment"))))
+    n = F.when(F.col("VALID_FROM_DATETIME") < F.lit("2000-01-01").cast("timestamp_ntz"), 1).otherwise(2)
+    return out.select("CUSTOMER_ID", n.alias("VERSION"), "SEGMENT", "VALID_FROM_DATETIME", "VALID_TO_DATETIME", "IS_CURRENT_FLAG")
+
+
+@query("""WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) f, max(o_orderkey) k FROM orders GROUP BY ALL)
+SELECT CAST(o_custkey AS BIGINT) CUSTOMER, CAST(k AS BIGINT) ORDER_ID, f VALID_FROM_DATE, coalesce(CAST(lead(f) OVER w - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') VALID_TO_DATE, CASE WHEN lead(f) OVER w IS NULL THEN 'Y' ELSE 'N' END IS_CURRENT_FLAG
+FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY f)""")
+def load_scd2_derived(spark, d):
+    """Two loads, the later orders first: the same history as in one load."""
+    fields = [_field("customer", "o_custkey", "bigint"), _field("order_id", "o_orderkey", "bigint")]
+    validity = {"data_type": "date", "valid_from": {"column": "VALID_FROM_DATE", "source": {"column": "o_orderdate"}}, "valid_to": {"column": "VALID_TO_DATE"}}
+    spec = _spec("scd2_derived", "customer", fields, scd={"validity": validity, "deduplicate": {"order_by": [{"column": "order_id"}]}})
+    o, store = _t(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date")), scratch(spark, "load-derived")
+    late = F.year("o_orderdate") >= 1996
+    _load(spark, store, spec, o.filter(late))
+    return _load(spark, store, spec, o.filter(~late)).select("CUSTOMER", "ORDER_ID", "VALID_FROM_DATE", "VALID_TO_DATE", "IS_CURRENT_FLAG")
+
+
+@query("""SELECT 'JOB_START' EVENT_TYPE, NULL::VARCHAR "RESULT", NULL::VARCHAR DETAILS, NULL::BIGINT LOADED_COUNT, NULL::BIGINT QUARANTINE_COUNT
+UNION ALL SELECT 'JOB_END', 'COMPLETED_WITH_QUARANTINE', 'validation errors written to quarantine output', count(*) FILTER (c_acctbal >= 0), count(*) FILTER (c_acctbal < 0) FROM customer""")
+def load_job_events(spark, d):
+    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}]
+    store = scratch(spark, "load-jobs")
+    _load(spark, store, _spec("scd1", "customer_id", fields, failure_mode="quarantine_row"), _t(spark, d, "customer"))
+    return store.read("BUSINESS.LOAD_JOBS").select("EVENT_TYPE", "RESULT", "DETAILS", F.col("LOADED_COUNT").cast("bigint").alias("LOADED_COUNT"), F.col("QUARANTINE_COUNT").cast("bigint").alias("QUARANTINE_COUNT"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) C_CUSTKEY, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'field `balance` is less than 0; field `segment` does not match regex' ELSE 'field `balance` is less than 0' END MESSAGES
+FROM customer WHERE c_acctbal < 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'field `segment` does not match regex' FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING'""")
+def validate_messages(spark, d):
+    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER[1], "validations": [{"type": "regex", "pattern": "BUILD[A-Z]+"}]}]
+    loader = Loader(spark, _spec("scd1", "customer_id", fields), scratch(spark, "validate"), source=_t(spark, d, "customer"))
+    return loader.messages().select("C_CUSTKEY", F.array_join("failures", "; ").alias("MESSAGES"))

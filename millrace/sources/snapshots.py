@@ -11,6 +11,7 @@ the others over by name.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -206,3 +207,13 @@ def _without(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     return a.join(b, on, "left_anti")
+
+
+def scratch(spark: SparkSession, label: str) -> Snapshots:
+    """A store of its own in the shared folder that spark.checkpoint.dir names; on one machine a temporary folder will do."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-tables-")
+    return Snapshots(spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
