@@ -235,7 +235,8 @@ class Loader:
         return rows.select(*self._columns())
 
     def incoming(self, valid: DataFrame) -> DataFrame:
-        """Typed rows of a generated history with their proposed start, and hidden columns of the order of duplicates."""
+        """Typed rows of a generated history with their proposed start, and hidden columns of the order of duplicates. A null
+        start is kept: the window checks find it."""
         spec, h = self.spec, self.spec.history
         names = {f.name for f in spec.fields}
         hidden = [c for c, _, _ in h.order if c not in names and c != h.valid_from]
@@ -243,10 +244,10 @@ class Loader:
         if h.kind == "auto":
             start = F.lit(str(spec.scd["insert_time"])).cast("timestamp").cast(h.type)
         else:
-            start = F.col(h.valid_from).cast(h.type)
+            start = (F.expr(spec.start) if spec.start else F.col(h.valid_from)).cast(h.type)
         flag = spec.scd.get("deleted_flag") or {}
         deleted = F.col(flag["field"].upper()).cast("string") if flag.get("field") else F.lit(str(flag.get("value", "N")))
-        return rows.withColumns({h.valid_from: start, DELETED: deleted}).filter(F.col(h.valid_from).isNotNull())
+        return rows.withColumns({h.valid_from: start, DELETED: deleted})
 
     def existing(self, incoming: DataFrame) -> DataFrame:
         """The target's versions with the internal columns of `incoming`; empty where there is no table or it is rebuilt."""

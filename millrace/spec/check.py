@@ -31,8 +31,9 @@ BLOCKS: dict[str, dict] = {
         "delete_detection": "deletes", "insert_time": _ANY, "timestamp_data_type": _TEXT, "validity": "validity", "scd2_auto_from_sot": _FLAG,
         "scd2_validation": {"continuous", "sparse"}, "scd2_validation_enabled": _FLAG, "derivation_scope": {"affected_keys"},
         "validation_scope": {"affected_window", "full_target"}, "window_strategy": {"previous_and_next"}, "current_flag": _MAP, "deleted_flag": "deleted",
-        "deduplicate": "deduplicate", "update_mode": {"append_only", "upsert"}, "update_key": "names", "valid_to_datetime": _MAP,
+        "deduplicate": "deduplicate", "update_mode": {"append_only", "upsert"}, "update_key": "names", "valid_to_datetime": _MAP, "valid_from_datetime": "start",
     },
+    "start": {"expression": _TEXT},
     "deletes": {"mode": {"field"}, "field": _TEXT, "value": _ANY},
     "deleted": {"mode": _TEXT, "value": _ANY, "field": _TEXT},
     "validity": {"data_type": {"date", "timestamp_ntz", "timestamp_tz", "timestamp_ltz"}, "valid_from": "bound", "valid_to": "bound"},
@@ -246,7 +247,9 @@ def _history(spec: Spec) -> list[Problem]:
         out.append((f"{at}.insert_time", "is valid for scd2_auto only"))
     if kind == "scd2_derived":
         f = names.get(spec.history.valid_from)
-        if f is None:
+        if spec.start:
+            pass
+        elif f is None:
             out.append((f"{at}.validity.valid_from", f"a source or a target field `{spec.history.valid_from}` is required"))
         elif parse_type(f.data_type).base not in ("date", "timestamp"):
             out.append(("$.target.fields", f"`{f.id}` must be a date or a timestamp"))
@@ -259,6 +262,8 @@ def _history(spec: Spec) -> list[Problem]:
         out += [(f"{at}.update_key", f"`{k}` is no target field") for k in spec.update_keys if k not in names]
     elif "update_mode" in scd or "update_key" in scd:
         out.append((at, "update_mode and update_key are valid for scd2_manual only"))
+    if kind != "scd2_derived" and "valid_from_datetime" in scd:
+        out.append((f"{at}.valid_from_datetime", "is valid for scd2_derived only"))
     if scd.get("deduplicate") and kind != "scd2_derived":
         out.append((f"{at}.deduplicate", "is valid for scd2_derived only"))
     if spec.control.get("incremental_bookmark") is not None:

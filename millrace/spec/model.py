@@ -87,6 +87,11 @@ class Spec:
     def validity(self) -> dict:
         return self.scd.get("validity") or {}
 
+    @property
+    def start(self) -> str | None:
+        """The SQL expression of target fields that gives a derived version's start, in place of a field."""
+        return (self.scd.get("valid_from_datetime") or {}).get("expression")
+
     @property
     def table(self) -> str:
         """schema.table of the target, in capitals."""

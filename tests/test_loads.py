@@ -171,6 +171,24 @@ def test_derived_hidden_order_and_dates(spark, store):
     assert "SEQ" not in store.read("BUSINESS.ACCOUNT").columns
 
 
+def test_derived_null_start_fails(spark, store):
+    with pytest.raises(HistoryError):
+        load(spark, store, derived(), "account_id state changed", ("A1", "a", None), ("A2", "b", "2026-01-01"))
+    spec = derived()
+    spec["control_data"]["failure_mode"] = "quarantine_row"
+    report = load(spark, store, spec, "account_id state changed", ("A1", "a", None), ("A2", "b", "2026-01-01"))
+    assert report.invalid_keys == 1 and rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A2",)]
+
+
+def test_derived_start_by_expression(spark, store):
+    fields = [field("account_id"), field("state"), field("created", "date"), field("updated", "date"), field("source_flag", "varchar(1)")]
+    spec = document("scd2_derived", fields, scd={"valid_from_datetime": {"expression": "coalesce(updated, created)"}}, business_data_hash={"business_data_hash_mode": "exclude", "fields": ["created", "updated"]})
+    names = "account_id state created updated source_flag"
+    load(spark, store, spec, names, ("A1", "V10", "2026-01-01", "2026-03-01", "Y"))
+    load(spark, store, spec, names, ("A1", "V2", "2026-01-01", None, "Y"))
+    assert rows(store, "BUSINESS.ACCOUNT", "VALID_FROM_DATETIME", "STATE", "IS_CURRENT_FLAG", "SOURCE_FLAG") == [("2026-01-01 00:00:00", "V2", "N", "Y"), ("2026-03-01 00:00:00", "V10", "Y", "Y")]
+
+
 def manual(**scd):
     fields = [field("account_id"), field("account_value"), field("is_current_flag", "varchar(1)"), field("is_deleted_flag", "varchar(1)")]
     for name, when in (("valid_from_datetime", "start_of_day"), ("valid_to_datetime", "end_of_day")):
