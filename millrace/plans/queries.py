@@ -482,13 +482,13 @@ def _load(spark, store: Snapshots, spec: dict, source: DataFrame) -> DataFrame:
     return store.read("OUT.T")
 
 
-_CUSTOMER = [_field("customer_id", "c_custkey", "varchar(20)", nullable=False), _field("segment", "c_mktsegment", "varchar(20)", transforms=[{"type": "trim"}]), _field("balance", "c_acctbal", "number(12,1)")]
+_CUSTOMER_FIELDS = [_field("customer_id", "c_custkey", "varchar(20)", nullable=False), _field("segment", "c_mktsegment", "varchar(20)", transforms=[{"type": "trim"}]), _field("balance", "c_acctbal", "number(12,1)")]
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) CUSTOMER_ID, trim(c_mktsegment) SEGMENT, sha256(CAST(c_custkey AS VARCHAR)) T_BUSINESS_KEY, TIMESTAMP '2026-01-01' AUDIT_CREATED_DATETIME, 'manual' AUDIT_DATA_PROCESS_KEY
 FROM customer WHERE c_mktsegment <> 'BUILDING'""")
 def load_scd1(spark, d):
-    spec = _spec("scd1", "customer_id", _CUSTOMER, scd={"delete_detection": {"mode": "field", "field": "segment", "value": "BUILDING"}})
+    spec = _spec("scd1", "customer_id", _CUSTOMER_FIELDS, scd={"delete_detection": {"mode": "field", "field": "segment", "value": "BUILDING"}})
     out = _load(spark, scratch(spark, "load-scd1"), spec, _t(spark, d, "customer"))
     return out.select("CUSTOMER_ID", "SEGMENT", "T_BUSINESS_KEY", "AUDIT_CREATED_DATETIME", "AUDIT_DATA_PROCESS_KEY")
 
@@ -496,7 +496,7 @@ def load_scd1(spark, d):
 @query("""SELECT CAST(c_custkey AS VARCHAR) C_CUSTKEY, CASE WHEN c_acctbal < 0 THEN 'field `balance` is less than 0' ELSE 'field `segment` is not one of the allowed values' END FAILURE_DETAILS
 FROM customer WHERE c_acctbal < 0 OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
 def load_quarantine(spark, d):
-    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER[1], "validations": [{"type": "allowed_values", "values": ["BUILDING", "MACHINERY"]}]}]
+    fields = [_CUSTOMER_FIELDS[0], {**_CUSTOMER_FIELDS[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER_FIELDS[1], "validations": [{"type": "allowed_values", "values": ["BUILDING", "MACHINERY"]}]}]
     store = scratch(spark, "load-quarantine")
     _load(spark, store, _spec("scd1", "customer_id", fields, failure_mode="quarantine_row"), _t(spark, d, "customer"))
     return store.read("INTERMEDIATE.T__QUARANTINE").select("C_CUSTKEY", "FAILURE_DETAILS")
@@ -510,7 +510,7 @@ def load_scd2_auto(spark, d):
     c, store = _t(spark, d, "customer"), scratch(spark, "load-auto")
 
     def spec(at):
-        return _spec("scd2_auto", "customer_id", _CUSTOMER, scd={"insert_time": at})
+        return _spec("scd2_auto", "customer_id", _CUSTOMER_FIELDS, scd={"insert_time": at})
 
     _load(spark, store, spec("2026-01-01T00:00:00Z"), c)
     out = _load(spark, store, spec("2026-02-01T00:00:00Z"), c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 100 == 0, "MOVED").otherwise(F.col("c_mktsegment"))))
@@ -535,7 +535,7 @@ def load_scd2_derived(spark, d):
 @query("""SELECT 'JOB_START' EVENT_TYPE, NULL::VARCHAR "RESULT", NULL::VARCHAR DETAILS, NULL::BIGINT LOADED_COUNT, NULL::BIGINT QUARANTINE_COUNT
 UNION ALL SELECT 'JOB_END', 'COMPLETED_WITH_QUARANTINE', 'validation errors written to quarantine output', count(*) FILTER (c_acctbal >= 0), count(*) FILTER (c_acctbal < 0) FROM customer""")
 def load_job_events(spark, d):
-    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}]
+    fields = [_CUSTOMER_FIELDS[0], {**_CUSTOMER_FIELDS[2], "validations": [{"type": "min_value", "value": 0}]}]
     store = scratch(spark, "load-jobs")
     _load(spark, store, _spec("scd1", "customer_id", fields, failure_mode="quarantine_row"), _t(spark, d, "customer"))
     return store.read("BUSINESS.LOAD_JOBS").select("EVENT_TYPE", "RESULT", "DETAILS", F.col("LOADED_COUNT").cast("bigint").alias("LOADED_COUNT"), F.col("QUARANTINE_COUNT").cast("bigint").alias("QUARANTINE_COUNT"))
@@ -544,6 +544,6 @@ def load_job_events(spark, d):
 @query("""SELECT CAST(c_custkey AS VARCHAR) C_CUSTKEY, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'field `balance` is less than 0; field `segment` does not match regex' ELSE 'field `balance` is less than 0' END MESSAGES
 FROM customer WHERE c_acctbal < 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'field `segment` does not match regex' FROM customer WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING'""")
 def validate_messages(spark, d):
-    fields = [_CUSTOMER[0], {**_CUSTOMER[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER[1], "validations": [{"type": "regex", "pattern": "BUILD[A-Z]+"}]}]
+    fields = [_CUSTOMER_FIELDS[0], {**_CUSTOMER_FIELDS[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER_FIELDS[1], "validations": [{"type": "regex", "pattern": "BUILD[A-Z]+"}]}]
     loader = Loader(spark, _spec("scd1", "customer_id", fields), scratch(spark, "validate"), source=_t(spark, d, "customer"))
     return loader.messages().select("C_CUSTKEY", F.array_join("failures", "; ").alias("MESSAGES"))
