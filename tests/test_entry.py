@@ -1,4 +1,10 @@
+import os
+
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
+from millrace.plans import queries as engine
 
 
 def test_oracles_belong_to_queries():
@@ -7,3 +13,22 @@ def test_oracles_belong_to_queries():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module")
+def tables(sf):
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(engine.oracle_sql()))
+def test_query_gives_what_its_sql_gives(spark, sf, tables, name):
+    df = engine.queries()[name](spark, sf)
+    columns = sorted(df.columns)
+    want = tables.execute(engine.oracle_sql()[name])
+    found = [c[0] for c in want.description]
+    assert sorted(found) == columns
+    at = [found.index(c) for c in columns]
+    assert sorted(tuple(map(str, r)) for r in df.select(*columns).collect()) == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
