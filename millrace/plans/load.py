@@ -7,6 +7,7 @@ are written once beside the tables and read for all that follows. Nothing of the
 from __future__ import annotations
 
 import os
+import random
 import re
 import time
 import uuid
@@ -24,7 +25,7 @@ from millrace.functions.macros import Macros, Rules
 from millrace.operators import history as H
 from millrace.operators import verdict as V
 from millrace.sources import scan
-from millrace.sources.snapshots import Snapshots
+from millrace.sources.snapshots import Conflict, Snapshots
 from millrace.spec import load as spec_load
 from millrace.spec.check import require
 from millrace.spec.model import AUDIT, CURRENT, DATA_HASH, DELETED, SOURCE_AUDIT, Field, Spec
@@ -431,7 +432,13 @@ class Loader:
         df = self.spark.createDataFrame([row], _JOBS)
         if done:
             df = df.withColumns({"LOADED_COUNT": F.lit(report.loaded).cast("decimal(38,0)"), "QUARANTINE_COUNT": F.lit(report.quarantined).cast("decimal(38,0)")})
-        self.store.append(self.spec.job_table, df)
+        for left in range(19, -1, -1):  # loads that run at once share the table
+            try:
+                return self.store.append(self.spec.job_table, df)
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(random.random())
 
     def _govern(self) -> None:
         """Contract rows of tagged or described columns, then the procedure."""

@@ -311,3 +311,12 @@ def test_empty_source_and_plan(spark, store):
     empty = {"TMP.S": refs["TMP.S"].limit(0)}
     assert Loader(spark, auto(), store, references=empty).run().loaded == 1
     assert Loader(spark, auto(insert_time="2027-01-01"), store, references=table(spark, "account_id account_value", ("A1", "9"))).plan().count() == 2
+
+
+def test_events_of_loads_at_once(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    loaders = [Loader(spark, auto(), store, job_id=str(i)) for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda x: x._event("JOB_START", None), loaders))
+    assert rows(store, "BUSINESS.LOAD_JOBS", "JOB_ID") == [(str(i),) for i in range(6)]
