@@ -53,15 +53,24 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", _long_key),
     Rule("hex", r"[0-9a-f]{16,}"),  # runs of [0-9a-f]+ are matched whole, so that shorter ones never hide a longer one
 )
+# A private key from its BEGIN line to the next END line; where that is missing or another block comes first, to the end of
+# the base64 lines. Repeats are possessive and stop at the next five dashes, so that many BEGIN lines cost one pass.
+_GAP = r"""(?:[\s>*#|"',]|\\[nrt])"""
+_PEM = (
+    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    rf"(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}={{1,2}}|[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/]{{1,15}}+(?=[ \t]*(?:\n|\r\n|\Z)))?|)"
+)
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("github", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("url_password", r"://[^\s/@:]{1,64}:[^\s/@]{6,128}@"),
+    Rule("url_password", r"://[^\s/@:]++:[^\s/@]{6,}+@"),
 )
 
 
