@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, packing, secret_scan, simhash, store
+from millrace.llm import decontamination, language_id, near_copies, packing, secret_scan, store
 
 #: A text whose best language scores less resembles no language that was learnt.
 LEAST_SCORE = 0.05
+#: Texts at least so similar (Jaccard, five-word shingles) are near copies.
+LEAST_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that with the smallest doc_id."""
-    return simhash.keep_first(spark, docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 over five-word shingles: that with the smallest doc_id."""
+    return near_copies.keep_first(spark, docs, LEAST_SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
