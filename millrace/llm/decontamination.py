@@ -1,8 +1,10 @@
 """Benchmark decontamination: q-gram lemma filter in diagonal bands, then banded alignment.
 
 Texts are compared by their letters and digits, lower-cased. A benchmark item is cut into overlapping windows of
-`window` characters (the whole item if it is shorter); a window matches where a document aligns with it at `rate` edits
-for each character at most, so that changed and partly copied items are found as well as exact ones.
+`window` characters (the whole item if it is shorter), and into windows of `excerpt` - STRIDE + 1 characters at every
+STRIDE-th place; a window matches where a document aligns with it at `rate` edits for each character at most, so that
+changed items are found as well as exact ones. Every verbatim excerpt of `excerpt` letters and digits (LEAST_EXCERPT, about
+13 words) holds an entire short window wherever it begins, and is found; a shorter excerpt of a longer item may not be.
 
 A window of m characters with e edits keeps m - q + 1 - q * e of its q-grams at least, and their diagonals (place in the
 document less place in the window) differ by e at most. Hits are counted in bands of 2 * (e + 1) diagonals that overlap
@@ -23,6 +25,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Letters and digits of the shortest verbatim excerpt that is always found, and the stride of the windows within it.
+LEAST_EXCERPT, STRIDE = 65, 6
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = None
 
@@ -69,22 +73,23 @@ def _hashes(codes, q: int):
 class WindowIndex:
     """The q-grams of all windows of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = 8, window: int = 100, rate: float = 0.1):
+    def __init__(self, items: list[tuple[int, str]], q: int = 8, window: int = 100, rate: float = 0.1, excerpt: int = LEAST_EXCERPT):
         import numpy as np
 
         self.q, self.texts, self.item, edits = q, [], [], []
         self.total: dict[int, int] = {}
         for n, (_, text) in enumerate(items):
             codes, _ = normal(text or "")
-            m = min(window, len(codes))
-            if m < q:
+            if min(window, len(codes)) < q:
                 continue
-            starts = sorted({*range(0, len(codes) - m + 1, max(1, m // 2)), len(codes) - m})
-            for s in starts:
+            cuts = set()
+            for m, stride in ((min(window, len(codes)), max(1, window // 2)), (min(max(q, excerpt - STRIDE + 1), len(codes)), STRIDE)):
+                cuts |= {(s, m) for s in (*range(0, len(codes) - m + 1, stride), len(codes) - m)}
+            for s, m in sorted(cuts):
                 self.texts.append(codes[s : s + m])
                 self.item.append(n)
                 edits.append(min(int(rate * m), (m - q) // q))
-            self.total[n] = len(starts)
+            self.total[n] = len(cuts)
         self.ids = [i for i, _ in items]
         self.edits = np.array(edits, dtype=np.int64)
         self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)

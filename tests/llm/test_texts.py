@@ -127,6 +127,18 @@ def test_windows_found_equal_brute_force():
         assert {(d, n): (f, e) for d, n, f, e, _, _ in index.search(texts)} == expected
 
 
+def test_excerpts_at_every_offset_are_found(spark):
+    random.seed(6)
+    item = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=233))
+    noise = lambda: "".join(random.choices("0123456789 ", k=90))
+    n = decontamination.LEAST_EXCERPT
+    texts = [noise() + item[k : k + n] + noise() for k in range(len(item) - n + 1)]
+    docs = spark.createDataFrame([*enumerate(texts), (999, noise() * 9)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=233)))], "item_id long, text string")
+    got = decontamination.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, 1) for k in range(len(texts))]
+
+
 def test_leaks_on_odd_rows(spark):
     item = "The quick brown fox jumps over the lazy dog while seven wizards brew potions of strange and wonderful colours at midnight, every night."
     changed = item.replace("brown", "brwn").replace("seven", "sevenn").upper()
