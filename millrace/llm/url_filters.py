@@ -2,8 +2,8 @@
 
 A url without a fitting rule is judged by its host. Every host starts with the shares of all pages that rules allow and
 block there. Trust flows along links, from a host to those it links to; distrust flows against them, to the hosts that
-link to a distrusted one (personalised PageRank with the seeds as restart, `rounds` steps at `damping`, not divided by
-1 - damping). A host is blocked where its distrust exceeds its trust by more than `tolerance` of its own share of pages.
+link to a distrusted one (personalised PageRank with the seeds as restart, at `damping`, not divided by 1 - damping, until all that is still to
+come is below LEAST_MASS pages). A host is blocked where its distrust exceeds its trust by more than `tolerance` of its own share of pages.
 
 Links are taken from href attributes; relative ones stay on their host and count for nothing. The graph is an edge
 table with one row for each pair of hosts; each step is a join on the source host and a sum that is begun before the
@@ -23,6 +23,8 @@ from millrace.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 10_000
+#: Pages: what all hosts together could still receive when spreading stops.
+LEAST_MASS = 1e-3
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -66,18 +68,23 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(kind, host, score): seeds and what reaches each host over (kind, src, dst, share)."""
-    state = seeds
-    for k in range(rounds):
-        moved = state.join(edges, (state["host"] == edges["src"]) & (state["kind"] == edges["kind"])).select(state["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
-        state = seeds.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            state = store.materialize(state, "host-scores")
-    return state
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, least: float = LEAST_MASS) -> DataFrame:
+    """(kind, host, score): seeds and what reaches each host over (kind, src, dst, share), until what is still to come is below `least`."""
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
+    state = seeds.withColumn("moving", F.col("score"))
+    while True:
+        for _ in range(4):
+            going = state.filter("moving > 0")
+            moved = going.join(edges, (going["host"] == edges["src"]) & (going["kind"] == edges["kind"])).select(going["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("moving") * F.col("share")).alias("score"))
+            state = state.withColumn("moving", F.lit(0.0)).unionByName(moved.withColumn("moving", F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving"))
+        state = store.materialize(state, "host-scores")
+        mass = state.agg(F.sum("moving")).first()[0] or 0.0
+        if mass * damping <= least * (1 - damping):
+            return state.drop("moving")
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, tolerance: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     ruled = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     ruled = ruled.withColumn("best", best_rule("host", "path", rules)).select("page_id", "host", "path", "best.rule", "best.verdict")
@@ -89,14 +96,14 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, damping: float = 0
     backward = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("share"))
     seeds = counts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("n")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("n")))).alias("s"))
     seeds = seeds.select("s.kind", "host", F.col("s.n").cast("double").alias("score")).filter("score > 0")
-    scores = seeds if edges.isEmpty() else spread(seeds, store.materialize(forward.unionByName(backward), "host-edges"), damping, rounds)
+    scores = seeds if edges.isEmpty() else spread(seeds, store.materialize(forward.unionByName(backward), "host-edges"), damping)
     scores = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(-F.col("score"))).alias("against"))
     verdicts = counts.join(scores, "host", "left").select("host", F.when(F.coalesce("against", F.lit(0.0)) > tolerance * F.col("pages"), "block").otherwise("allow").alias("host_verdict"))
     return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"))
 
 
 def sql(rules=RULES, damping: float = 0.85, rounds: int = 8, tolerance: float = 0.5) -> str:
-    """The same as one DuckDB statement."""
+    """The same as one DuckDB statement, but for evidence that comes over more than `rounds` links."""
     fits = "\n    UNION ALL ".join(f"SELECT '{v}' verdict, '{h}' h, '{p}' p" for v, h, p in rules)
     steps = "".join(
         f"""

@@ -89,6 +89,24 @@ def test_urls_equal_sql(spark, sf):
     assert {r.rule for r in url_filters.judge(spark, pages, rules=()).collect()} == {None}
 
 
+def test_evidence_comes_over_long_chains_and_cycles(spark):
+    links = {"h1.org": ["bad.org"], **{f"h{k}.org": [f"h{k - 1}.org"] for k in range(2, 51)}}
+    links |= {"c1.org": ["c2.org"], "c2.org": ["c3.org", "h12.org"], "c3.org": ["c1.org"]}
+    pages = [(f"http://{h}/", "".join(f'<a href="http://{t}/">' for t in to)) for h, to in links.items()] + [("http://bad.org/", "")] * 1000
+    into = {t: [h for h in links for x in links[h] if x == t] for t in {t for to in links.values() for t in to}}
+    score = moving = {"bad.org": 1000.0}
+    for _ in range(500):  # distrust goes from a host to those that link to it
+        sent = {}
+        for t, m in moving.items():
+            for h in into.get(t, []):
+                sent[h] = sent.get(h, 0) + 0.85 * m / len(into[t])
+        score, moving = {h: score.get(h, 0) + sent.get(h, 0) for h in {*score, *sent}}, sent
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in url_filters.judge(spark, df, rules=(("block", "bad.org", "/"),)).collect()}
+    assert got == {h: "block" if h == "bad.org" or score.get(h, 0) > 0.5 else "allow" for h in (*links, "bad.org")}
+    assert got["h9.org"] == got["c1.org"] == "block" and got["h50.org"] == "allow"
+
+
 def test_licences_equal_sql(spark, sf):
     mit = license_digest.TEXTS[0][1]
     rows = [(1, mit, "x"), (2, "Copyright (c) 2020 A\n" + mit.lower().replace("copyright owner", "copyright holder").replace("\n", " \n * ").replace("sublicense", "sub-license"), ""), (3, mit + " more", None), (4, None, None), (5, "", ""), (6, "a\n  released under THE mit LICENCE!\nReleased under the MIT License.\nb", ""), (6, "SPDX-License-Identifier: MIT", ""), (None, mit, ""), (7, "w " * 60000, "")]
