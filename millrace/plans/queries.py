@@ -431,6 +431,46 @@ def point_in_time(spark, d):
     return H.as_of(facts, versions, _ORDERS, "o_orderdate").select("fact", "version_order")
 
 
+# ---- whole tables: the SQL of nullsafe_join, manual_upsert, manual_candidates and point_in_time reads a part of their ids only
+
+
+@query("""WITH n AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END k FROM customer)
+SELECT s_suppkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END k FROM supplier) s WHERE EXISTS (SELECT 1 FROM n WHERE n.k IS NOT DISTINCT FROM s.k)""")
+def nullsafe_join_whole(spark, d):
+    n = _t(spark, d, "customer").select(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("k"))
+    s = _t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 5 != 0, F.col("s_nationkey")).alias("k"))
+    return s.join(n, s["k"].eqNullSafe(n["k"]), "left_semi").select("s_suppkey")
+
+
+_STATES = """WITH old AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, max(o_orderkey) o_orderkey FROM orders GROUP BY ALL), inc AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, min(o_orderkey) o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
+SELECT * FROM inc UNION ALL SELECT * FROM old WHERE {}NOT EXISTS (SELECT 1 FROM inc WHERE inc.o_custkey = old.o_custkey AND inc.VALID_FROM_DATETIME = old.VALID_FROM_DATETIME)"""
+
+
+def _states(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Existing: all orders; incoming: those of status F."""
+    key = ("o_custkey", F.col("o_orderdate").alias("VALID_FROM_DATETIME"))
+    o = _t(spark, d, "orders")
+    return o.groupBy(*key).agg(F.max("o_orderkey").alias("o_orderkey")), o.filter("o_orderstatus = 'F'").groupBy(*key).agg(F.min("o_orderkey").alias("o_orderkey"))
+
+
+@query(_STATES.format(""))
+def manual_upsert_whole(spark, d):
+    return H.keyed_replace(*_states(spark, d), ["o_custkey", "VALID_FROM_DATETIME"])
+
+
+@query(_STATES.format("o_custkey IN (SELECT o_custkey FROM inc) AND "))
+def manual_candidates_whole(spark, d):
+    return H.manual_candidate(*_states(spark, d), _ORDERS, ["o_custkey", "VALID_FROM_DATETIME"])
+
+
+@query(f"""WITH h AS ({_derived_sql()}) SELECT o.o_orderkey fact, h.o_orderkey version_order FROM orders o LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate BETWEEN h.VALID_FROM_DATETIME AND h.VALID_TO_DATETIME""")
+def point_in_time_whole(spark, d):
+    rows = _order_versions(spark, d)
+    versions = H.merge(_empty(rows, _ORDERS), rows, _ORDERS).withColumnRenamed("o_orderkey", "version_order")
+    facts = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("fact"), "o_orderdate")
+    return H.as_of(facts, versions, _ORDERS, "o_orderdate").select("fact", "version_order")
+
+
 # ---- semi-structured sources, bookmarks
 
 
