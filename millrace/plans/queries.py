@@ -362,6 +362,15 @@ def scd2_derived_backfill(spark, d):
     return H.window_failures(H.after_load(H.merge(target, late, _ORDERS), target, _ORDERS), _ORDERS).agg(F.count(F.lit(1)).alias("bad"))
 
 
+@query()
+def scd2_derived_backfill_target(spark, d):
+    """The whole target after late rows came into existing windows; tests compare it with a brute force of both steps."""
+    early = _order_versions(spark, d, "o_orderkey % 3 <> 0")
+    target = H.merge(_empty(early, _ORDERS), early, _ORDERS)
+    late = _order_versions(spark, d, "o_orderkey % 3 = 0")
+    return H.after_load(H.merge(target, late, _ORDERS), target, _ORDERS)
+
+
 _GAPS = "SELECT o_custkey, o_orderkey, o_orderdate AS VALID_FROM_DATETIME, o_orderdate + INTERVAL 30 DAY AS VALID_TO_DATETIME FROM orders"
 _NEXT = f"SELECT *, lead(VALID_FROM_DATETIME) OVER (PARTITION BY o_custkey ORDER BY VALID_FROM_DATETIME, o_orderkey) n FROM ({_GAPS})"
 
