@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 from millrace.llm import store
 
 
-def join_labels(label, a, b) -> None:
-    """Unite, in place, the groups of a[k] and b[k]. label: for each node the least node of its group, as an array."""
+def join_labels(label, a, b):
+    """Unite, in place, the groups of a[k] and b[k]; the numbers k of pairs that suffice for it, one for each group that goes.
+
+    label: for each node the least node of its group, as an array.
+    """
     import numpy as np
 
-    while len(a):
-        x, y = label[a], label[b]
+    left, used = np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(left):
+        x, y = label[a[left]], label[b[left]]
         apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        left, high, low = left[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        high, first = np.unique(high, return_index=True)
+        used.append(left[first])
+        label[high] = low[first]
         while not np.array_equal(up := label[label], label):
             label[:] = up
+    return np.concatenate(used)
 
 
 def _low(u: str, v: str):
@@ -44,14 +51,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge to another one; component is the least node of its component."""
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     pair, seen = store.materialize(pair, "component-edges"), None
-    for _ in range(max_rounds):
-        pair = store.materialize(_small_star(_large_star(pair)), "component-edges")
+    while True:  # every round at least halves the longest way, up to a logarithm; a round that changes nothing ends it
         state = tuple(pair.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == seen:
+        if state == seen or not state[0]:
             return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        pair = store.materialize(_small_star(_large_star(pair)), "component-edges", instead=pair)

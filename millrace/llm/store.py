@@ -24,11 +24,19 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = fresh_dir(df.sparkSession, label)
+def materialize(df: DataFrame, label: str, instead: DataFrame | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    instead: a result of this function that df was made from and nobody reads any more; its files go.
+    """
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if old := getattr(instead, "stored_at", None):
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def filesystem(uri: str):

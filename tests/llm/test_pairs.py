@@ -48,6 +48,10 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) == fingerprint(text)
 
 
+def closure(n, pairs):
+    return union(n, [(min(a, b), max(a, b)) for a, b in pairs])
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_index_finds_all_links(seed):
     rng = np.random.default_rng(seed)
@@ -56,13 +60,33 @@ def test_index_finds_all_links(seed):
     fp = base[rng.integers(0, len(base), n)]
     for _ in range(int(rng.integers(0, 7))):
         fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-    group = np.sort(rng.integers(0, rng.integers(1, 9), n))
-    index = simhash.GrayForest(group, fp)
-    near = (np.bitwise_count(index.fp[:, None] ^ index.fp[None, :]) <= 4) & (index.group[:, None] == index.group[None, :])
-    assert index.forest(4).tolist() == union(n, np.argwhere(np.triu(near, 1)).tolist())
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    index = simhash.GrayIndex(fp)
+    a, b = index.own_links(4)
+    a, b = index.order[a], index.order[b]
+    assert near[a, b].all() and closure(n, zip(a.tolist(), b.tolist())) == union(n, np.argwhere(np.triu(near, 1)).tolist())
+    # two parts, each with groups of its own, in several calls
     asks = rng.random(n) < 0.5
-    found = index.forest(4, asks[index.order], ~asks[index.order])
-    assert found.tolist() == union(n, np.argwhere(near & asks[index.order][:, None] & ~asks[index.order][None, :]).tolist())
+    own = [(x, y) for x, y in np.argwhere(np.triu(near, 1)).tolist() if asks[x] == asks[y]]
+    groups, mine, other = np.array(closure(n, own)), np.flatnonzero(asks), np.flatnonzero(~asks)
+    pairs = list(own)
+    if len(other):
+        index = simhash.GrayIndex(fp[other], groups[other])
+        for part in np.array_split(mine, 3):
+            a, b = index.links(fp[part], groups[part], 4)
+            a, b = part[a], other[index.order[b]]
+            assert near[a, b].all()
+            pairs += zip(a.tolist(), b.tolist())
+    assert closure(n, pairs) == union(n, np.argwhere(np.triu(near, 1)).tolist())
+
+
+def test_dense_groups_cost_no_pairs():
+    rng = np.random.default_rng(2)
+    near = np.uint64(rng.integers(0, 2**63)) ^ (np.uint64(1) << rng.integers(0, 24, 60_000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(24, 64, 60_000).astype(np.uint64))
+    near = np.unique(np.r_[near, near ^ np.uint64(7)])
+    index = simhash.GrayIndex(near)
+    a, b = index.own_links(4)
+    assert len(near) > 1900 and len(a) == len(near) - 1 == len(b) and set(index.label.tolist()) == {0}
 
 
 def near_copies(n=160):
@@ -78,10 +102,10 @@ def near_copies(n=160):
     return rows + [(1, None, None, None, None), (2, "", None, None, None), (2, "", None, None, None), (None, rows[0][1], None, None, None)]
 
 
-@pytest.mark.parametrize("max_group", [1 << 20, 5])
-def test_classes_equal_brute_force(spark, max_group):
+@pytest.mark.parametrize("sizes", [{}, {"least_part": 20}, {"part_size": 7}])
+def test_classes_equal_brute_force(spark, sizes):
     rows = near_copies()
-    got = simhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string, fp string, rep int, component string"), max_group=max_group).collect()
+    got = simhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string, fp string, rep int, component string"), **sizes).collect()
     fps = [fingerprint(r[1]) for r in rows]
     groups = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4])
     least = {}
@@ -96,6 +120,8 @@ def test_one_of_each_group_stays(spark):
     kept = simhash.keep_first(spark, df)
     classes = {r.component_id for r in simhash.classes(spark, df).collect()}
     rows = kept.collect()
+    clashing = df.withColumn("nth", df.doc_id).withColumn("kept", df.text).withColumn("fp", df.doc_id).withColumn("row", df.text)
+    assert simhash.keep_first(spark, clashing).columns == clashing.columns and simhash.keep_first(spark, clashing).count() == kept.count()
     assert kept.columns == df.columns and sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(classes)
     assert simhash.classes(spark, df.limit(0)).count() == 0 == simhash.keep_first(spark, df.limit(0)).count()
 
