@@ -4,12 +4,14 @@
 2. Two codebooks, one for each half of the vector, are fitted on at most `sample` classes; a pair of codes is a cell of
    the product grid, and every class is indexed in its cell.
 3. For a class the cells are visited by the multi-sequence order (the sum of the distances of both halves). How many is
-   measured: `probes` classes are compared with all vectors, block by block, and the number of cells is the least that
-   finds `recall` of the links they have. A pair is looked for from the class whose cell comes later, so that none is
-   found twice.
-4. Candidates are verified in double precision. A cell is dealt as sub-cells of `max_cell` classes at most, and its
-   members are repeated where more than `max_visits` classes visit it; nothing is dropped. A task returns, for each
-   class, the number of vectors linked, and a spanning forest of its links.
+   measured, as the least number that finds `recall` of two kinds of links: those that `probes` classes have, compared
+   with all vectors block by block; and links made for the purpose, as weak as links can be: each probe and a vector at
+   exactly the threshold's angle from it in a random direction. The latter need no links in the table to be measured. A
+   pair is looked for from the class whose cell comes later, so that none is found twice.
+4. Candidates are verified in double precision. A cell is cut into units of `max_cell` classes at most, and units that
+   are neighbours in the grid make a block, the work of a task. A class is sent once to each block that it looks into,
+   with the numbers of the units; a block that more than `max_visits` classes look into is repeated. Nothing is dropped.
+   A task returns, for each class, the number of vectors linked, and a spanning forest of its links.
 
 Defined results: null, empty and zero vectors, vectors with null or non-finite components and vectors of another
 dimension than most have no links and are kept; rows that share an id and equal vectors count as linked vectors; a row
@@ -113,23 +115,29 @@ def _valid(v):
     return F.coalesce(F.size(v) > 0, F.lit(False)) & finite & F.exists(v, lambda x: x != 0)
 
 
-def _spread(rep: int) -> int:
-    """A number that spreads ids evenly."""
-    return (rep * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 24
-
-
 def fit(classes: DataFrame, sample: int, codes: int) -> MultiIndex:
     rows = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(sample).collect()
     return MultiIndex(_unit([r.v for r in rows]), codes)
 
 
-def calibrate(classes: DataFrame, index: MultiIndex, threshold: float, recall: float, probes: int, least: int) -> int:
-    """The number of cells to visit so that `recall` of the links of the probes are found."""
+def weakest(q, threshold: float, seed: int = 11):
+    """For each row a vector of length 1 at exactly the threshold, in a random direction."""
+    import numpy as np
+
+    u = np.random.default_rng(seed).normal(size=q.shape)
+    u -= (u * q).sum(axis=1, keepdims=True) * q
+    return threshold * q + np.sqrt(max(0.0, 1 - threshold * threshold)) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+
+
+def calibrate(classes: DataFrame, index: MultiIndex, threshold: float, recall: float, probes: int) -> int:
+    """The number of cells to visit so that `recall` of the probes' links, and of links at the threshold, are found."""
+    import numpy as np
+
     chosen = classes.select("v", "rep").orderBy(F.xxhash64("v", F.lit(1)), "v").limit(probes).collect()
-    shared = classes.sparkSession.sparkContext.broadcast((index, _unit([r.v for r in chosen]), [r.rep for r in chosen]))
+    q = _unit([r.v for r in chosen])
+    shared = classes.sparkSession.sparkContext.broadcast((index, q, [r.rep for r in chosen]))
 
     def compare(batches) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         own, q, reps = shared.value
@@ -149,87 +157,193 @@ def calibrate(classes: DataFrame, index: MultiIndex, threshold: float, recall: f
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(seen[full])], ["place", "n"])
 
     found = sorted(tuple(r) for r in classes.select("v", "rep").mapInArrow(compare, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect())
+    made = np.sort(index.place(q, index.cell(weakest(q, threshold))))
     need, have = recall * sum(n for _, n in found), 0
     for place, n in found:
         have += n
         if have >= need:
-            return max(least, place)
-    return least
+            break
+    else:
+        place = 1
+    return max(place, int(made[math.ceil(recall * len(made)) - 1]))
+
 
+def _deal(placed: DataFrame, kind: str, max_cell: int, max_visits: int, block: int) -> DataFrame:
+    """(block, slice, kind, v, rep, n, units): classes of the units of each block (kind 0) and those that look into some."""
+    import numpy as np
 
-def _deal(placed: DataFrame, kind: str, max_cell: int, max_visits: int) -> DataFrame:
-    """A row for each (cell, part, copy) that a class is a member of (kind 0) or looks into (kind 1)."""
     used = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("members"))
     asked = placed.select(F.explode("seen").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
-    grid = used.join(asked, "cell", "left").select("cell", F.ceil(F.col("members") / max_cell).cast("int").alias("parts"), F.ceil((F.coalesce("asked", F.lit(0)) + F.col("members")) / max_visits).cast("int").alias("copies"))
-    # a row for each cell in use; the grid, and so this table, has 2**20 cells at most
-    table = placed.sparkSession.sparkContext.broadcast({r.cell: (r.parts, r.copies) for r in grid.collect()})
+    # a row for each cell in use; the grid has 2**20 cells at most
+    grid = sorted(tuple(r) for r in used.join(asked, "cell", "left").select("cell", "members", F.coalesce("asked", F.lit(0))).collect())
+    first, parts = (np.zeros(grid[-1][0] + 1, np.int64) for _ in range(2))
+    of_unit, visits, held, units = [], [0], 0, 0
+    for cell, members, looks in grid:
+        first[cell], parts[cell] = units, -(-members // max_cell)
+        for _ in range(parts[cell]):
+            if held and held + members // parts[cell] > block:
+                visits.append(0)
+                held = 0
+            of_unit.append(len(visits) - 1)
+            held += -(-members // parts[cell])
+            visits[-1] += looks + members
+            units += 1
+    slices = np.array([-(-n // max_visits) for n in visits])
+    shared = placed.sparkSession.sparkContext.broadcast((first, parts, np.array(of_unit), slices))
 
     def deal(batches) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        cells_of = table.value
+        first, parts, of_unit, slices = shared.value
+
+        def spread(start, times):
+            return np.repeat(start, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part, source, key = batch.slice(k, 256), [], []
-                for r, (rep, cell, seen) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 3, 4)), strict=True)):
-                    mark = _spread(rep)
-                    parts, copies = cells_of[cell]
-                    mine = mark % parts
-                    key += [(cell, mine, copy, 0) for copy in range(copies)]
-                    for c in {*seen, cell} & cells_of.keys():
-                        own_parts, own_copies = cells_of[c]
-                        key += [(c, s, (mark >> 12) % own_copies, 1) for s in range(mine if c == cell else own_parts)]
-                    source += [r] * (len(key) - len(source))
-                own = part.select(["v", "rep", "n"]).take(pa.array(source, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, *map(pa.array, np.array(key, dtype=np.int32).reshape(-1, 4).T.copy())], ["v", "rep", "n", "cell", "part", "copy", "kind"])
-
-    return placed.mapInArrow(deal, f"v {kind}, rep long, n long, cell int, part int, copy int, kind int")
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                rep, cell = part.column(1).to_numpy(), part.column(3).to_numpy().astype(np.int64)
+                mark = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)).astype(np.int64)
+                mine = mark % parts[cell]
+                seen, size = part.column(4).flatten().to_numpy().astype(np.int64), np.diff(part.column(4).offsets.to_numpy())
+                row = np.repeat(np.arange(len(rep)), size)
+                other = (seen < len(parts)) & (seen != cell[row])
+                row, seen = row[other], seen[other]
+                row, seen = row[parts[seen] > 0], seen[parts[seen] > 0]
+                unit = np.r_[spread(first[seen], parts[seen]), spread(first[cell], mine)]
+                row = np.r_[np.repeat(row, parts[seen]), np.repeat(np.arange(len(rep)), mine)]
+                order = np.lexsort((unit, of_unit[unit], row))
+                row, unit = row[order], unit[order]
+                heads = np.flatnonzero(np.r_[len(row) > 0, (np.diff(row) != 0) | (np.diff(of_unit[unit]) != 0)][: len(row)])
+                own = first[cell] + mine
+                times = slices[of_unit[own]]  # a member goes to all slices of its block
+                source = np.r_[np.repeat(np.arange(len(rep)), times), row[heads]]
+                blocks = np.r_[np.repeat(of_unit[own], times), of_unit[unit[heads]]]
+                piece = np.r_[spread(np.zeros(len(rep), np.int64), times), (mark[row[heads]] >> 12) % slices[of_unit[unit[heads]]]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(times.sum()), times.sum() + heads, times.sum() + len(unit)].astype(np.int32)), pa.array(np.r_[np.repeat(own, times), unit].astype(np.int32)))
+                task = [pa.array(x.astype(np.int32)) for x in (blocks, piece, np.r_[np.zeros(times.sum()), np.ones(len(heads))])]
+                yield pa.RecordBatch.from_arrays([*task, *part.select(["v", "rep", "n"]).take(pa.array(source)).columns, lists], ["block", "slice", "kind", "v", "rep", "n", "units"])
+
+    return placed.mapInArrow(deal, f"block int, slice int, kind int, v {kind}, rep long, n long, units array<int>")
+
+
+class _Block:
+    """The classes of a block's units, and what is linked with them."""
+
+    def __init__(self, held: list):
+        import numpy as np
+
+        unit, x, self.rep, self.n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(unit, kind="stable")
+        unit, self.x, self.rep, self.n = unit[order], x[order], self.rep[order], self.n[order]
+        names, first = np.unique(unit, return_index=True)
+        self.span = dict(zip(names.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(unit)], strict=True), strict=True))
+        self.linked, self.label = np.zeros(len(unit), np.int64), np.arange(len(unit))
+
+    def inside(self, threshold: float):
+        """Links between the members of each unit, as (rep, other)."""
+        import numpy as np
+
+        for a, b in self.span.values():
+            for k in range(a, b, 1024):
+                end = min(k + 1024, b)
+                i, j = np.nonzero(np.tril(self.x[k:end] @ self.x[a:end].T >= threshold, k - a - 1))
+                i, j = i + k, j + a
+                np.add.at(self.linked, i, self.n[j])
+                np.add.at(self.linked, j, self.n[i])
+                used = join_labels(self.label, i, j)
+                yield self.rep[i[used]], self.rep[j[used]]
+
+    def asked(self, x, rep, n, row, unit, threshold: float):
+        """(vectors linked with each row of x, rep, other). row, unit: which rows look into which units."""
+        import numpy as np
+
+        order, size = np.argsort(unit, kind="stable"), len(self.label)
+        row, unit = row[order], unit[order]
+        linked, pairs = np.zeros(len(x), np.int64), []
+        cuts = np.flatnonzero(np.r_[True, np.diff(unit) != 0, True])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = self.span.get(int(unit[s]), (0, 0))  # a unit that no class falls into
+            for k in range(s, e, 1024):
+                q = row[k : min(k + 1024, e)]
+                i, j = np.nonzero(x[q] @ self.x[a:b].T >= threshold)
+                if len(i):
+                    i, j = q[i], j + a
+                    np.add.at(linked, i, self.n[j])
+                    np.add.at(self.linked, j, n[i])
+                    pairs.append((i, j))
+        if not pairs:
+            return linked, rep[:0], rep[:0]
+        i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+        label = np.r_[self.label, size + np.arange(len(x))]
+        used = join_labels(label, size + i, j)
+        self.label = label[:size]
+        return linked, rep[i[used]], self.rep[j[used]]
 
 
 def _verify(dealt: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(rep, linked vectors or 0, other or null): members of a cell's part are held, visitors stream by."""
+    """(rep, linked vectors or 0, other or null): a block's members are held, those that look into it stream by."""
 
     def verify(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        now, held = None, []
+        def counts(rep, linked):
+            full = np.flatnonzero(linked)
+            return pa.RecordBatch.from_arrays([pa.array(rep[full]), pa.array(linked[full]), pa.nulls(len(full), pa.int64())], ["rep", "linked", "other"])
+
+        def pairs(rep, other):
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.zeros(len(rep), np.int64)), pa.array(other)], ["rep", "linked", "other"])
+
+        now, held, block = None, [], None
+
+        def closed():
+            nonlocal block
+            if held and block is None:
+                yield from opened()
+            if block is not None:
+                yield counts(block.rep, block.linked)
+            block = None
+
+        def opened():
+            nonlocal block
+            block = _Block(held)
+            held.clear()
+            if now[1] == 0:  # members meet in the first slice
+                for a, b in block.inside(threshold):
+                    if len(a):
+                        yield pairs(a, b)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(_matrix(batch.column(0), dims))
-            rep, n, *key = (batch.column(k).to_numpy() for k in range(1, 7))
-            where = np.stack(key, axis=1)
-            cuts = np.r_[0, np.flatnonzero((np.diff(where, axis=0) != 0).any(axis=1)) + 1, len(rep)].tolist()
+            at, piece, kind = (batch.column(k).to_numpy() for k in range(3))
+            x = _unit(_matrix(batch.column(3), dims))
+            rep, n, units = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6)
+            cuts = np.r_[0, np.flatnonzero((np.diff(at) != 0) | (np.diff(piece) != 0) | (np.diff(kind) != 0)) + 1, len(at)].tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if tuple(where[a, :3]) != now:
-                    now, held = tuple(where[a, :3]), []
-                mine, member = (x[a:b], rep[a:b], n[a:b]), where[a, 3] == 0
-                against = held if not member else [*held, mine] if where[a, 2] == 0 else []  # members meet in the first copy
-                for mx, mi, mn in against:
-                    for k in range(0, b - a, 2048):
-                        qx, qi, qn = (y[k : k + 2048] for y in mine)
-                        near = qx @ mx.T >= threshold
-                        if mx is mine[0]:
-                            near &= np.arange(k, k + len(qx))[:, None] > np.arange(len(mx))
-                        i, j = np.nonzero(near)
-                        if not len(i):
-                            continue
-                        ids, label = np.r_[mi, qi], np.arange(len(mi) + len(qi))
-                        linked = np.r_[np.bincount(j, qn[i], len(mi)), np.bincount(i, mn[j], len(qi))].astype(np.int64)
-                        join_labels(label, j, i + len(mi))
-                        full = np.flatnonzero(linked)
-                        other = ids[label[full]]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[full]), pa.array(linked[full]), pa.array(other, mask=other == ids[full])], ["rep", "linked", "other"])
-                if member:
-                    held.append(mine)
+                if (at[a], piece[a]) != now:
+                    yield from closed()
+                    now, held = (at[a], piece[a]), []
+                some = units.slice(a, b - a)
+                unit, size = some.flatten().to_numpy(), np.diff(some.offsets.to_numpy())
+                if kind[a] == 0:
+                    held.append((unit, x[a:b], rep[a:b], n[a:b]))
+                    continue
+                if block is None and held:
+                    yield from opened()
+                if block is None:
+                    continue
+                linked, one, other = block.asked(x[a:b], rep[a:b], n[a:b], np.repeat(np.arange(b - a), size), unit, threshold)
+                yield counts(rep[a:b], linked)
+                if len(one):
+                    yield pairs(one, other)
+        yield from closed()
 
     return dealt.mapInArrow(verify, "rep long, linked long, other long")
 
 
-def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.995, sample: int = 16384, probes: int = 512, least_cells: int = 16, max_cell: int = 4096, max_visits: int = 65536) -> DataFrame:
+def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98, sample: int = 16384, probes: int = 512, max_cell: int = 4096, max_visits: int = 1 << 20, block: int = 1 << 14) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     kind = dict(vectors.dtypes)[vector_col]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -243,8 +357,8 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
         return alone
     dims, count = sizes[0].d, sizes[0].n
     same = made.filter(F.size("v") == dims)
-    index = fit(same, sample, 1 << max(1, min(10, round(math.log2(math.sqrt(count / 2 + 4))))))
-    cells = calibrate(same, index, threshold, recall, probes, least_cells)
+    index = fit(same, sample, 1 << max(1, min(10, round(math.log2(math.sqrt(count / 128 + 4))))))
+    cells = calibrate(same, index, threshold, recall, probes)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches) -> Iterator:
@@ -262,8 +376,9 @@ def links(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(earlier, pa.list_(pa.int32()))], ["v", "rep", "n", "cell", "seen"])
 
     placed = store.materialize(same.select("v", "rep", "n").mapInArrow(place, f"v {kind}, rep long, n long, cell int, seen array<int>"), "vector-cells")
-    keys = ["cell", "part", "copy"]
-    dealt = _deal(placed, kind, max_cell, max_visits).repartition(store.shuffle_partitions(spark), *keys).sortWithinPartitions(*keys, "kind")
+    tasks = store.shuffle_partitions(spark)
+    block = max(1, min(block, -(-count // tasks)))
+    dealt = _deal(placed, kind, max_cell, max_visits, block).repartition(max(tasks, -(-count // block)), "block", "slice").sortWithinPartitions("block", "slice", "kind")
     checked = store.materialize(_verify(dealt, dims, threshold), "vector-links")
     found = components(checked.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = checked.groupBy("rep").agg(F.sum("linked").alias("linked"))

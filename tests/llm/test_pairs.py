@@ -126,7 +126,7 @@ def test_one_of_each_group_stays(spark):
     assert simhash.classes(spark, df.limit(0)).count() == 0 == simhash.keep_first(spark, df.limit(0)).count()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_cell": 4, "max_visits": 9}])
+@pytest.mark.parametrize("limits", [{}, {"max_cell": 4, "max_visits": 9, "block": 7}, {"recall": 1.0}])
 def test_vector_links_equal_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
@@ -155,6 +155,18 @@ def test_vector_recall_on_the_table(spark, sf):
     assert sum(r.n_links for r in got) >= 0.9 * ((unit @ unit.T >= 0.9).sum() - len(x)) and len(got) == len(rows)
 
 
+def test_few_links_among_random_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[-200:] = embedding_dedup.weakest(x[:200], 0.9005)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {r.vec_id: r for r in embedding_dedup.links(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.9
+    assert near.sum() - len(x) == 400 and sum(r.n_links for r in got.values()) >= 0.95 * 400
+    assert all(r.n_links == 0 or near[k].sum() == 2 for k, r in got.items())
+
+
 def test_place_counts_the_cells_before(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 8))

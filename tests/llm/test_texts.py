@@ -119,14 +119,40 @@ def test_windows_found_equal_brute_force():
         expected = {}
         for d, t in enumerate(texts):
             plain = re.sub("[^a-z]", "", t.lower())
-            for w, (p, n) in enumerate(zip(index.texts, index.item)):
-                e = edits("".join(map(chr, p)), plain)
-                if e <= index.edits[w]:
-                    found, best = expected.get((d, n), (0, 99))
-                    expected[d, n] = (found + 1, min(best, e))
+            for w, p in enumerate(index.texts):
+                p = "".join(map(chr, p))
+                if len(p) < 4:  # whole words
+                    e = 0 if re.search(r"(?<![a-z])" + r"[^a-z]*".join(p) + r"(?![a-z])", t.lower()) else 99
+                else:
+                    e = edits(p, plain)
+                if e <= int(0.12 * len(p)):
+                    for n, own in enumerate(index.owned):
+                        if own[w]:
+                            found, best = expected.get((d, n), (0, 99))
+                            expected[d, n] = (found + own[w], min(best, e))
         assert {(d, n): (f, e) for d, n, f, e, _, _ in index.search(texts)} == expected
 
 
+def test_short_items_keep_their_edits(spark):
+    item = "abcdefghijklmnopqrstuvwx"  # 24 letters: two edits, which leave no shared 8-gram
+    changed = item[:8] + "#" + item[9:15] + "7" + item[16:]
+    docs = spark.createDataFrame([(1, "x. " + changed + " y"), (2, "see ab c"), (3, "cabcd"), (4, "say: abc!"), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "A-bc"), (3, "..."), (4, None)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in decontamination.leaks(docs, items).collect()) == [(1, 1, 2), (2, 2, 0), (4, 2, 0)]
+
+
+def test_repetitive_texts_cost_little(spark):
+    import resource
+    import time
+
+    index = decontamination.WindowIndex([(1, "a" * 2000), (2, "ab" * 3000), (3, "a" * 2000)])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    found = index.search(["a" * 40_000, "ba" * 30_000, "c" * 9])
+    assert [(d, n, e) for d, n, _, e, _, _ in found] == [(0, 0, 0), (0, 2, 0), (1, 1, 0)]
+    assert all(f == index.owned[n].total() for _, n, f, _, _, _ in found)
+    assert time.process_time() - began < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 def test_excerpts_at_every_offset_are_found(spark):
     random.seed(6)
     item = "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=233))
