@@ -7,11 +7,10 @@ are k(x, L) K^-1/2 A. k(x, L) is itself the product of the text's n-gram presenc
 matrix, so that batches of texts are scored by one sparse-times-dense matrix product with a matrix of n-grams by
 languages.
 
-N-grams are exact: characters are lower-cased and numbered by an alphabet of the `alphabet` - 2 most frequent letters of
-the training texts, with one number for other letters and one for all that is no letter (runs of which count once).
-Training uses `per_language` texts of each of the `languages` most frequent languages, those with the least hash of
-their id, and of them `landmarks` as landmarks; these bounds do not grow with the table, and every n-gram of every text
-is used.
+N-grams are exact: lower-cased code points of letters, of whatever script, and one number for all that is no letter (runs
+of which count once). Training uses all labelled languages, `per_language` texts of each (fewer where there are more than
+`rows` / `per_language` languages, LEAST_TEXTS at least), those with the least hash of their id, and of them `landmarks` as
+landmarks (two a language at least). Every n-gram of every text is used; of the training texts the driver gets n-grams only.
 
 Defined results: a text that is null or has no letter gets `und` and 0; empty tables and tables without a labelled text
 give `und` throughout; scores outside 0 to 1 are clipped; equal scores go to the first language by name; repeated rows
@@ -26,96 +25,110 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.slices import slices
+
 UNKNOWN = "und"
 
 
-class Grams:
-    """Numbers the n-grams of texts over an alphabet learnt from `texts`."""
+LEAST_TEXTS = 30
+_POINTS = 0x110000
+_LETTERS = None
 
-    def __init__(self, texts: list[str], alphabet: int = 64):
-        import numpy as np
 
-        self.size = alphabet
-        seen: Counter = Counter()
-        for t in texts:
-            seen.update(t.lower())
-        letters = sorted((c for c in seen if c.isalpha()), key=lambda c: (-seen[c], c))[: alphabet - 2]
-        self.numbers = np.full(0x110000, 0, dtype=np.uint8)  # 0: no letter, 1: another letter
-        self.numbers[[c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = 1
-        self.numbers[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = 1
-        for k, c in enumerate(letters):
-            self.numbers[ord(c)] = k + 2
-        self.total = alphabet + alphabet**2 + alphabet**3
-
-    def present(self, text: str):
-        """The numbers of the n-grams that the text holds, ascending; none if it has no letter."""
+def _letters():
+    """For each code point of a letter itself, else 0."""
+    global _LETTERS
+    if _LETTERS is None:
         import numpy as np
 
-        codes = self.numbers[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        if not codes.any():
-            return np.zeros(0, np.int64)
-        keep = np.empty(len(codes), bool)
-        keep[0] = True
-        np.logical_or(codes[1:] != 0, codes[:-1] != 0, out=keep[1:])
-        codes = codes[keep].astype(np.int32)
-        n, flags = self.size, np.zeros(self.total, bool)
-        flags[codes] = True
-        pairs = codes[:-1] * n + codes[1:]
-        flags[n + pairs] = True
-        flags[n + n * n + pairs[:-1] * n + codes[2:]] = True
-        return np.flatnonzero(flags)
+        _LETTERS = np.zeros(_POINTS, np.int64)
+        points = [c for c in range(_POINTS) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+        _LETTERS[points] = points
+    return _LETTERS
+
+
+def letters(text: str) -> int:
+    """How many letters a text has."""
+    import numpy as np
+
+    return int(np.count_nonzero(_letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]))
+
+
+def grams(text: str):
+    """The numbers of the 1- to 3-grams that the text holds, ascending; none if it has no letter."""
+    import numpy as np
+
+    codes = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    if not codes.any():
+        return np.zeros(0, np.int64)
+    keep = np.empty(len(codes), bool)
+    keep[0] = True
+    np.logical_or(codes[1:] != 0, codes[:-1] != 0, out=keep[1:])
+    codes = codes[keep]
+    pairs = codes[:-1] * _POINTS + codes[1:]
+    return np.concatenate([np.unique(codes), np.unique(pairs) + _POINTS, np.unique(pairs[:-1] * _POINTS + codes[2:]) + (_POINTS + _POINTS**2)])
 
 
 class Model:
-    """grams, languages and the matrix of n-grams by languages (rows of n-grams that no landmark has are zero)."""
+    """languages, the n-grams that landmarks hold (ascending) and their matrix of n-grams by languages; other n-grams weigh nothing."""
 
-    def __init__(self, grams: Grams, languages: list[str], weights):
-        self.grams, self.languages, self.weights = grams, languages, weights
+    def __init__(self, languages: list[str], used, weights):
+        self.languages, self.used, self.weights = languages, used, weights
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def scores(self, found):
+        """Scores of each language for a list of results of `grams`, none of them empty."""
         import numpy as np
 
-        found = [self.grams.present(t) if t and self.languages else [] for t in texts]
         size = np.array([len(g) for g in found])
-        full = np.flatnonzero(size)
+        rows = np.concatenate(found)
+        where = np.searchsorted(self.used, rows)
+        where[where == len(self.used)] = 0
+        known = self.used[where] == rows
+        total = np.zeros((len(found), len(self.languages)))
+        text = np.repeat(np.arange(len(found)), size)[known]
+        for k in range(len(self.languages)):
+            total[:, k] = np.bincount(text, self.weights[where[known], k], len(found))
+        return total / np.sqrt(size)[:, None]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        found = [grams(t) if t and self.languages else () for t in texts]
+        full = [k for k, g in enumerate(found) if len(g)]
         best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if len(full):
-            rows = np.concatenate([found[k] for k in full])
-            starts = np.cumsum(size[full]) - size[full]
-            scores = np.add.reduceat(self.weights[rows], starts, axis=0) / np.sqrt(size[full])[:, None]
-            for k, at, value in zip(full.tolist(), scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
+        if full:
+            scores = self.scores([found[k] for k in full])
+            for k, at, value in zip(full, scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
                 best[k], score[k] = self.languages[at], min(1.0, max(0.0, value))
         return best, score
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 300, ridge: float = 0.1, alphabet: int = 64) -> Model:
-    """Train on texts and labels; landmarks are taken in turn from all languages."""
+def fit(rows: list, labels: list[str], landmarks: int = 300, ridge: float = 0.1) -> Model:
+    """Train on the n-grams of texts and their labels; landmarks are taken in turn from all languages."""
     import numpy as np
 
-    grams = Grams(texts, alphabet)
-    rows = [(grams.present(t), y) for t, y in zip(texts, labels, strict=True)]
-    rows = [(g, y) for g, y in rows if len(g)]
+    rows = [(np.asarray(g, np.int64), y) for g, y in zip(rows, labels, strict=True) if len(g)]
     languages = sorted({y for _, y in rows})
     if not rows:
-        return Model(grams, [], np.zeros((0, 0)))
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)))
     turn: Counter = Counter()
     order = []
     for k, (_, y) in enumerate(rows):
         order.append((turn[y], k))
         turn[y] += 1
-    chosen = [k for _, k in sorted(order)[:landmarks]]
-    used = np.unique(np.concatenate([rows[k][0] for k in chosen]))
-    marks = np.zeros((len(used), len(chosen)))
-    for j, k in enumerate(chosen):
-        marks[np.searchsorted(used, rows[k][0]), j] = 1 / np.sqrt(len(rows[k][0]))
+    chosen = [k for _, k in sorted(order)[: max(landmarks, 2 * len(languages))]]
+    every = np.concatenate([rows[k][0] for k in chosen])
+    used, which = np.unique(every, return_inverse=True)
+    sizes = np.array([len(rows[k][0]) for k in chosen])
+    by_gram = np.argsort(which, kind="stable")
+    owner = np.repeat(np.arange(len(chosen)), sizes)[by_gram]  # landmarks of each n-gram, one after the other
+    first = np.searchsorted(which[by_gram], np.arange(len(used) + 1))
     near = np.zeros((len(rows), len(chosen)))
-    for at in range(0, len(rows), 256):  # k(x, L) by batches of presence rows
-        batch = np.zeros((min(256, len(rows) - at), len(used)))
-        for j, (g, _) in enumerate(rows[at : at + 256]):
-            where = np.searchsorted(used, g)
-            where[where == len(used)] = 0
-            batch[j, where[used[where] == g]] = 1 / np.sqrt(len(g))
-        near[at : at + 256] = batch @ marks
+    for k, (g, _) in enumerate(rows):  # k(x, L): a sum over the landmarks of the n-grams that a text holds
+        where = np.searchsorted(used, g)
+        where[where == len(used)] = 0
+        where = where[used[where] == g]
+        times = first[where + 1] - first[where]
+        at = np.repeat(first[where], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        near[k] = np.bincount(owner[at], minlength=len(chosen)) / np.sqrt(len(g) * sizes)
     value, vector = np.linalg.eigh(near[chosen])
     keep = value > value.max() * 1e-9
     root = vector[:, keep] / np.sqrt(value[keep])  # K^-1/2, up to a rotation
@@ -123,58 +136,94 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 300, ridge: float
     target = np.array([[y == name for name in languages] for _, y in rows], dtype=float)
     share = 1 / target.sum(axis=0)
     weight = (target @ share)[:, None]  # all languages weigh the same
-    solved = np.linalg.solve(features.T @ (weight * features) + ridge / len(rows) * np.eye(features.shape[1]), features.T @ (weight * target))
-    weights = np.zeros((grams.total, len(languages)))
-    weights[used] = marks @ (root @ solved)
-    return Model(grams, languages, weights)
+    solved = root @ np.linalg.solve(features.T @ (weight * features) + ridge / len(rows) * np.eye(features.shape[1]), features.T @ (weight * target))
+    solved = solved / np.sqrt(sizes)[:, None]
+    weights = np.stack([np.bincount(which, np.repeat(solved[:, k], sizes), len(used)) for k in range(len(languages))], axis=1)
+    return Model(languages, used, weights)
 
 
-def training_sample(docs: DataFrame, per_language: int, languages: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """(text, language) of the chosen texts; the rows of `docs` are those that may be learnt from."""
+#: Letters of a text whose score says whether its language was learnt; of shorter ones half of that is asked.
+LONG = 200
+
+
+def least_score(rows: list, labels: list[str], sizes: list[int], quantile: float = 0.01, share: float = 0.6, **options) -> float:
+    """A score that long texts of no learnt language stay below: `share` of a low quantile of what those of a learnt language
+    get for it from a model of the other half of the sample, for the language where that is least; 0 without long texts."""
+    import numpy as np
+
+    own: dict[str, list[float]] = {}
+    for half in (0, 1):
+        model = fit(rows[half::2], labels[half::2], **options)
+        other = slice(1 - half, None, 2)
+        tested = [(g, y) for g, y, n in zip(rows[other], labels[other], sizes[other], strict=True) if len(g) and n >= LONG and y in model.languages]
+        if tested:
+            for (_, y), s in zip(tested, model.scores([np.asarray(g, np.int64) for g, _ in tested]), strict=True):
+                own.setdefault(y, []).append(float(s[model.languages.index(y)]))
+    return share * max(0.0, min((float(np.quantile(x, quantile)) for x in own.values()), default=0.0))
+
+
+def training_sample(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list[str], list[int]]:
+    """(n-grams, languages, numbers of letters) of the chosen texts; the rows of `docs` are those that may be learnt from."""
     some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     some = some.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
-    common = some.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "y").limit(languages).collect()
+    common = some.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # a row a language
     if not common:
-        return []
+        return [], [], []
+    wanted = max(LEAST_TEXTS, min(per_language, rows // len(common)))
     # hashes are uniform: below this bound lie about twice the ids that are needed, however large the table is
-    bound = {r.y: max(r.least, min(2**63 - 1, -(2**63) + int(2**64 * (2 * per_language + 100) / r.n))) for r in common}
+    bound = {r.y: max(r.least, min(2**63 - 1, -(2**63) + int(2**64 * (2 * wanted + 100) / r.n))) for r in common}
     table = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair])
     ids = some.filter(F.col("h") <= table[F.col("y")]).select("y", "h", "i").distinct().collect()
     chosen, taken = set(), Counter()
     for r in sorted(ids):
         taken[r.y] += 1
-        if taken[r.y] <= per_language:
+        if taken[r.y] <= wanted:
             chosen.add(r.i)
-    rows = some.filter(F.col("i").isin(sorted(chosen)) & F.col("y").isin(list(bound))).dropDuplicates(["i", "y", "t"]).collect()
-    return [(r.t, r.y) for r in sorted(rows, key=lambda r: (r.h, r.i, r.t))]
 
+    def present(batches) -> Iterator:
+        import pyarrow as pa
 
-def train(docs: DataFrame, per_language: int = 300, languages: int = 64, landmarks: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
+        kind = pa.list_(pa.int64())
+        for batch in batches:
+            for part in slices(batch, 3, 64):
+                texts = part.column(3).to_pylist()
+                made = [pa.array([grams(t).tolist() for t in texts], kind), pa.array([letters(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.select(["h", "i", "y"]).columns, *made], ["h", "i", "y", "g", "n"])
+
+    picked = some.filter(F.col("i").isin(sorted(chosen))).dropDuplicates(["i", "y", "t"])
+    found = picked.select("h", F.col("i").cast("string"), "y", "t").mapInArrow(present, "h long, i string, y string, g array<long>, n long").collect()
+    found = sorted(found, key=lambda r: (r.h, r.i, r.y, len(r.g), r.g))
+    return [r.g for r in found], [r.y for r in found], [r.n for r in found]
+
+
+def train(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
     """A model from a bounded sample of the labelled rows of `docs`."""
-    rows = training_sample(docs, per_language, languages, id_col, text_col, lang_col)
-    return fit([t for t, _ in rows], [y for _, y in rows], landmarks, **options)
+    found, labels, _ = training_sample(docs, per_language, rows, id_col, text_col, lang_col)
+    return fit(found, labels, **options)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred and score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    text = docs.columns.index(text_col)
+    """All columns of docs with lang_pred, score and n_letters; columns of these names are replaced."""
+    from pyspark.sql.types import StructType
+
+    results = StructType.fromDDL("lang_pred string, score double, n_letters long")
+    names = [c for c in docs.columns if c.lower() not in results.names]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = names.index(text_col)
 
     def score(batches) -> Iterator:
         import pyarrow as pa
 
         own = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                best, value = own.predict(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(value, pa.float64())], [*part.schema.names, "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+            for part in slices(batch, text, 256):
+                texts = part.column(text).to_pylist()
+                best, value = own.predict(texts)
+                made = [pa.array(best, pa.string()), pa.array(value, pa.float64()), pa.array([letters(t or "") for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, *results.names])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, *results.fields]))
 
 
 def held_out(id_col: str = "doc_id"):

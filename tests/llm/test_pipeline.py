@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 from millrace.llm import entry, secret_scan  # noqa: E402
-from tests.llm.test_pairs import fingerprint, union  # noqa: E402
+from tests.llm.test_near_copies import brute_kept  # noqa: E402
 from tests.llm.test_texts import brute_secrets  # noqa: E402
 
 
@@ -22,10 +22,8 @@ def test_pipeline_equals_brute_force(spark, sf):
     first = stages[0](spark, seen, sf)
     assert {r.doc_id for r in first.collect()} == {r.doc_id for r in docs.collect()} and first.columns == docs.columns
     rows = sorted(first.select("doc_id", "text").collect())
-    fps = [fingerprint(r.text) for r in rows]
-    groups = union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4])
     second = stages[1](spark, first, sf).cache()
-    assert {r.doc_id for r in second.collect()} == {rows[g].doc_id for g in set(groups)} and second.columns == docs.columns
+    assert {r.doc_id for r in second.collect()} == brute_kept(rows) and second.columns == docs.columns
     items = [plain(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     third = stages[2](spark, second, sf)
     leaked = {r.doc_id for r in second.collect() if any(i in plain(r.text) for i in items)}

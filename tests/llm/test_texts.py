@@ -182,13 +182,15 @@ def test_leaks_on_odd_rows(spark):
 
 
 def test_present_grams():
-    grams = language_id.Grams(["abc abd"], 8)
-    assert grams.present("") .size == 0 and grams.present("12 !!").size == 0
-    a, b = grams.present("ab"), grams.present("  AB ab--ab")
+    assert language_id.grams("").size == 0 and language_id.grams("12 !!").size == 0
+    a, b = language_id.grams("ab"), language_id.grams("  AB ab--ab")
     assert set(a) < set(b) and len(set(b)) == len(b)
-    one = {c: grams.numbers[ord(c)] for c in "ab"}
-    expected = {one["a"], one["b"], 8 + one["a"] * 8 + one["b"]}
-    assert set(a.tolist()) == {int(x) for x in expected}
+    n = 0x110000
+    assert a.tolist() == [97, 98, n + 97 * n + 98]
+    for text in ("漢字かな漢字", "Ünï é", "a1b  c", "\U0001f600 日 \U00020000"):
+        runs = re.sub("[^" + "".join({c for c in text.lower() if c.isalpha()}) + "]+", "\0", text.lower())
+        plain = {runs[k : k + m] for m in (1, 2, 3) for k in range(len(runs) - m + 1)}
+        assert len(language_id.grams(text)) == len(plain)
 
 
 def test_kernel_scores_equal_the_plain_formula():
@@ -197,8 +199,8 @@ def test_kernel_scores_equal_the_plain_formula():
     random.seed(2)
     texts = ["".join(random.choice("abcd " if k % 2 else "abxy ") for _ in range(80)) for k in range(30)]
     labels = ["p" if k % 2 else "q" for k in range(30)]
-    model = language_id.fit(texts, labels, landmarks=10, ridge=0.1)
-    sets = [set(model.grams.present(t).tolist()) for t in texts]
+    model = language_id.fit([language_id.grams(t) for t in texts], labels, landmarks=10, ridge=0.1)
+    sets = [set(language_id.grams(t).tolist()) for t in texts]
     order = [k for k in range(30)][:10]
     kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
     near = np.array([[kernel(s, sets[j]) for j in order] for s in sets])
@@ -212,6 +214,47 @@ def test_kernel_scores_equal_the_plain_formula():
     assert best == [("p", "q")[k] for k in scores.argmax(axis=1)] and np.allclose(score, np.clip(scores.max(axis=1), 0, 1))
 
 
+def words_of(letters, seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(40)]
+    return lambda k: " ".join(random.Random(k).choices(words, k=n))
+
+
+def test_many_languages_and_scripts(spark):
+    han = [chr(0x4E00 + k) for k in range(400)]
+    kana, hangul = [chr(0x3041 + k) for k in range(80)], [chr(0xAC00 + k) for k in range(300)]
+    made = {f"x{k}": words_of("abcdefghijklmnopqrstuvwxyz", k, 60) for k in range(70)}
+    made |= {"zh1": words_of(han[:200], 901, 60), "zh2": words_of(han[150:], 902, 60), "ja": words_of(kana, 903, 60), "ko": words_of(hangul, 904, 60)}
+    rows = [(1000 * n + k, text(k), name) for n, (name, text) in enumerate(made.items()) for k in range(12)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {i: y for i, _, y in rows}
+    tested = [r for r in got.collect() if r.held_out]
+    assert {want[r.doc_id] for r in tested} == set(made)
+    assert sum(want[r.doc_id] == r.lang_pred for r in tested) >= 0.95 * len(tested)
+
+
+def test_texts_of_no_learnt_language_go(spark, sf):
+    import base64
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    junk = base64.b64encode(random.Random(3).randbytes(3000)).decode()
+    odd = [finnish * 3, polish * 3, junk, "x" * 300, None, "1 2 3", "漢字かな" * 20]
+    extra = spark.createDataFrame([(90000 + k, t, None, "x", 0) for k, t in enumerate(odd)] + [(80000, "Re.", None, "x", 3)], docs.schema)
+    stage = corpus_pipeline.STAGES[0][1]
+    kept = {r.doc_id for r in stage(spark, docs.unionByName(extra), sf).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {80000}
+    from pyspark.sql import functions as F
+
+    clashing = docs.withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n_letters", F.lit(3))
+    again = stage(spark, clashing, sf)
+    assert again.columns == clashing.columns and again.count() == docs.count()
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_held_out_accuracy_and_odd_rows(spark, sf):
     from pyspark.sql import functions as F
 
