@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, language_id, near_copies, packing, secret_scan, store
 
-#: A text whose best language scores less resembles no language that was learnt.
-LEAST_SCORE = 0.05
+#: Texts of fewer letters are too short to say that they are in no learnt language; they go if they have no letter.
+LEAST_LETTERS = 20
 #: Texts at least so similar (Jaccard, five-word shingles) are near copies.
 LEAST_SIMILARITY = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; those without letters or unlike all languages go."""
-    model = language_id.train(docs.filter(~language_id.held_out()))
-    found = language_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a language that was learnt. Those go that have no letter, and those that score less in every language than
+    its own texts ever would (`language_id.least_score`, by cross-validation) unless they are very short."""
+    rows, labels, sizes = language_id.training_sample(docs.filter(~language_id.held_out()))
+    model, least = language_id.fit(rows, labels), language_id.least_score(rows, labels, sizes)
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language_id.predict(kept, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
+    asked = F.when(F.col("n_letters") >= language_id.LONG, least).when(F.col("n_letters") >= LEAST_LETTERS, least / 2).otherwise(0.0)
+    return found.filter(F.col("score") >= asked).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
