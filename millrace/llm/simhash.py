@@ -228,32 +228,46 @@ def _leaves(classes: DataFrame, radius: int, parts: int) -> DataFrame:
     rows = classes.filter("rep IS NOT NULL").select("rep", "fp", F.col("fp").alias("rank"))
     for s in (1, 2, 4, 8, 16, 32):
         rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", s)))
-    rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(2**63)))).repartitionByRange(parts, "rank")
+    rows = rows.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(2**63))))
+    bounds = rows.agg(F.percentile_approx("rank", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("rank"))) if bounds else F.lit(0)
+    rows = rows.select("rep", "fp", part.alias("part")).repartition(max(parts, store.shuffle_partitions(classes.sparkSession)), "part").sortWithinPartitions("part")
     names = ["rep", "fp", "part", "node", "grp", "other"]
 
     def own(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not held:
-            return
-        rep, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        index = GrayIndex(fp.view(np.uint64))
-        a, b = index.own_links(radius)
-        rep, n, part = rep[index.order], len(fp), TaskContext.get().partitionId()
-        node = np.arange(n) // -(-n // NODES)
-        for k in range(0, n, 1 << 16):
-            own = slice(k, k + (1 << 16))
-            size = len(rep[own])
-            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(index.fp[own].view(np.int64)), pa.array(np.full(size, part, np.int32)), pa.array(node[own].astype(np.int32)), pa.array(rep[index.label[own]]), pa.nulls(size, pa.int64())], names)
-        if len(a):
-            none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), *none, pa.array(rep[b])], names)
-
-    return rows.select("rep", "fp").mapInArrow(own, "rep long, fp long, part int, node int, grp long, other long")
+
+        def searched(part, held):
+            rep, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            index = GrayIndex(fp.view(np.uint64))
+            a, b = index.own_links(radius)
+            rep, n = rep[index.order], len(fp)
+            node = np.arange(n) // -(-n // NODES)
+            for k in range(0, n, 1 << 16):
+                own = slice(k, k + (1 << 16))
+                size = len(rep[own])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(index.fp[own].view(np.int64)), pa.array(np.full(size, part, np.int32)), pa.array(node[own].astype(np.int32)), pa.array(rep[index.label[own]]), pa.nulls(size, pa.int64())], names)
+            if len(a):
+                none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), *none, pa.array(rep[b])], names)
+
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, fp, part = (batch.column(k).to_numpy() for k in range(3))
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)].tolist()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if part[x] != now and held:
+                    yield from searched(now, held)
+                    held = []
+                now = part[x]
+                held.append((rep[x:y], fp[x:y]))
+        if held:
+            yield from searched(now, held)
+
+    return rows.mapInArrow(own, "rep long, fp long, part int, node int, grp long, other long")
 
 
 def _asked(leaves: DataFrame, radius: int, slices: int, partitions: int) -> DataFrame:
