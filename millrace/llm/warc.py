@@ -83,7 +83,7 @@ class ArchiveWriter:
         self.out.write(self.compressor.compress(data))
 
 
-def read_archive(source, block: int = 1 << 20, max_record: int = 1 << 31) -> Iterator[bytes]:
+def read_archive(source, block: int = 1 << 17, max_record: int = 1 << 31) -> Iterator[bytes]:
     """The records of a stream with .read(n), each decoded from its own frame."""
     import zstandard
 

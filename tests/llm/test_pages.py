@@ -1,4 +1,5 @@
 import io
+import re
 import struct
 
 import pytest
@@ -118,3 +119,34 @@ def test_licences_equal_sql(spark, sf):
     docs = docs.withColumn("doc_id", F.col("doc_id") + F.when(F.length("text") > 100000, 5000).otherwise(0)).dropDuplicates(["doc_id"])
     assert spark_rows(license_digest.scan(spark, docs)) == rows_of(license_digest.sql(), documents=docs.toArrow())
     assert license_digest.scan(spark, df.limit(0)).count() == 0 and license_digest.scan(spark, df, texts=(), notices=()).filter("license_id IS NOT NULL").count() == 0
+
+
+def test_whole_licences_are_found_through_the_join(spark):
+    import glob
+    import os
+    import textwrap
+
+    rows, want = [], []
+    for name, text in license_digest.TEXTS:
+        rows += [text, "Copyright 2019-2021 Some Body\n" + "\n".join(textwrap.wrap(text, 60)).upper(), text + " and more"]
+        want += [name, name, None]
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for f in glob.glob("/usr/share/common-licenses/*"):  # where the system has them
+        if (name := os.path.basename(f)) in names:
+            text = open(f, encoding="utf-8").read()
+            rows += [text, re.sub(r"\blicense\b", "licence", text.replace("\n", "\r\n   "))]
+            want += [names[name]] * 2
+    got = license_digest.scan(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [r.license_id for r in sorted(got)] == want
+
+
+def test_known_texts_may_be_a_large_table(spark):
+    known = spark.range(5000).selectExpr("concat('L-', id) license_id", "concat('You may use part ', id, ' as you like') text")
+    docs = spark.createDataFrame([(1, "you MAY use part 4321, as you like!"), (2, "you may use part 5000 as you like")], "doc_id long, text string")
+    assert [r.license_id for r in sorted(license_digest.scan(spark, docs, texts=known).collect())] == ["L-4321", None]
+
+
+def test_statements_go_and_sentences_stay(spark):
+    texts = ["COPYRIGHT HOLDERS BE LIABLE", "Copyright (c) 2020 A", " * Copyright 1999 B. All rights reserved.", "(c) 2001 C", "All rights reserved.", "© D", "copyright notice"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(license_digest.canonical(F.col("t"))).collect()] == ["copyright holders be liable", "", "", "", "", "", "copyright notice"]
