@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import simhash, store
 from millrace.llm.components import components, join_labels
 from millrace.llm.simhash import normal
+from millrace.llm.slices import slices
 
 WORDS, BANDS, ROWS, HUBS, RADIUS = 5, 24, 5, 2, 4
 #: Classes in a block of a crowd: the least, the most, and how many blocks a crowd has before they grow.
@@ -79,8 +80,7 @@ def sketches(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
         factors = _factors()
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 2):
                 found = []
                 for text in part.column(2):
                     joined = normal(text.as_py())

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import store
+from millrace.llm.slices import slices
 
 
 class _Bins:
@@ -127,8 +128,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int32())] * keep_ids]
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", *["ids"] * keep_ids]
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(k, 512), []
+            for part in slices(batch, 1):
+                rows = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode_all(texts), strict=True):
                     ids += end_id.to_bytes(4, "little")

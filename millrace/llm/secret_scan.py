@@ -23,6 +23,8 @@ from re import _parser as parser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.slices import slices
+
 ANY = ("any",)
 _MOST = 64  # strings of an exact set
 
@@ -226,8 +228,7 @@ def scan(docs: DataFrame, extra: tuple[Rule, ...] = MORE, text_col: str = "text"
         scanner = _scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for part in slices(batch, text):
                 spans = scanner.spans([t or "" for t in part.column(text).to_pylist()])
                 found = [[{"kind": rules[n].kind, "start": a, "end": b} for a, n, b in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*names, "found"])
@@ -264,8 +265,7 @@ def redact(docs: DataFrame, extra: tuple[Rule, ...] = MORE, text_col: str = "tex
 
         scanner = _scanner(rules)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for part in slices(batch, text):
                 texts = part.column(text).to_pylist()
                 for i, spans in enumerate(scanner.spans([t or "" for t in texts])):
                     if not spans:

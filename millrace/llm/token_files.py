@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import store
+from millrace.llm.slices import slices
 
 MAGIC = b"MRTOKEF1"
 FOOTER = struct.Struct("<QQQQqQQQQ8s")
@@ -216,8 +217,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(name)
                 writer = ShardWriter(out, width)
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode_all(texts), strict=True):
                     writer.add(doc, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
