@@ -24,7 +24,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         c.add_argument("--input-file", default=None, help="CSV file in place of the declared one")
         c.add_argument("--abstract", action="store_true")
         c.add_argument("--store", default="warehouse", help="folder of the tables")
-        c.add_argument("--limit", type=int, default=100, help="messages to print")
+        c.add_argument("--limit", type=int, default=None, help="rows to print; all without it")
     return parser.parse_args(argv)
 
 
@@ -75,11 +75,14 @@ def _with_spark(a: argparse.Namespace, path: Path, raw: dict, variables: dict) -
             loader.plan().explain("formatted")
             return 0
         if a.command == "validate":
-            bad = loader.messages()
-            rows = bad.limit(a.limit).collect()
-            for r in rows:
-                print(json.dumps(r.asDict(), default=str))
-            return 1 if rows else 0
+            bad, n = loader.messages(), 0
+            for r in bad.toLocalIterator():  # a partition at a time
+                n += 1
+                if a.limit is None or n <= a.limit:
+                    print(json.dumps(r.asDict(), default=str))
+            if a.limit is not None and n > a.limit:
+                print(f"{n - a.limit} more rows with messages", file=sys.stderr)
+            return 1 if n else 0
         print(json.dumps(asdict(loader.run()), default=str))
         return 0
     except Exception as e:

@@ -62,9 +62,6 @@ def field_failures(name: str, x: Column, data_type: str, nullable: bool = True,
     return [*out, *([typed] if typed is not None else []), *(rule_failure(name, x, r, macros) for r in rules)]
 
 
-def unique_failure(name: str, x: Column) -> Column:
-    """All rows that share a value of a unique field; nulls are exempt."""
-    from pyspark.sql import Window
-
-    shared = F.count(F.lit(1)).over(Window.partitionBy(x)) > 1
-    return F.when(x.isNotNull() & shared, _said(name, "duplicates a value for a unique field"))
+def unique_failure(name: str, repeated: Column) -> Column:
+    """All rows that share a value of a unique field, as `operators.verdict.mark_repeated` has marked them."""
+    return F.when(repeated, _said(name, "duplicates a value for a unique field"))

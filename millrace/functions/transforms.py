@@ -16,17 +16,28 @@ def trim(x: Column, side: str = "both") -> Column:
 
 
 def round_number(x: Column, scale: int = 0, mode: str = "half_up") -> Column:
-    """The text of the number at `scale` decimals, null where the text is no number. Modes: half_up, half_even, down, up."""
-    n = x.try_cast(f"decimal(38,{min(18, scale + 10)})")
+    """The text of the number at `scale` decimals, null where the text is no number or has more than 38 digits then. Modes:
+    half_up, half_even, down, up. The digits themselves decide, so that nothing is rounded twice, however many there are."""
+    number = r"^\s*([+-]?)0*([0-9]*)(?:\.([0-9]*))?\s*$"
+    # numbers with an exponent are written out first
+    text = F.when(x.rlike(r"[eE]"), x.try_cast("decimal(38,18)").cast("string")).otherwise(x)
+    whole, rest = F.regexp_extract(text, number, 2), F.regexp_extract(text, number, 3)
+    kept = F.concat(whole, F.rpad(F.substring(rest, 1, scale), scale, "0")) if scale else whole
+    cut = F.substring(rest, scale + 1, 1 << 30)
+    digits = F.when(kept == "", "0").otherwise(kept).try_cast("decimal(38,0)")
+    more, first, tail = cut.rlike("[1-9]"), F.substring(cut, 1, 1), F.substring(cut, 2, 1 << 30).rlike("[1-9]")
     if mode == "half_up":
-        out = F.round(n, scale)
+        bump = first >= "5"
     elif mode == "half_even":
-        out = F.bround(n, scale)
+        bump = (first > "5") | ((first == "5") & (tail | (digits % 2 == 1)))
     else:
-        unit = F.lit(10**scale).cast("decimal(20,0)")
-        whole = F.abs(n) * unit
-        out = F.signum(n).cast("int") * (F.floor(whole) if mode == "down" else F.ceil(whole)) / unit
-    return out.cast(f"decimal(38,{scale})").cast("string")
+        bump = more if mode == "up" else F.lit(False)
+    digits = (digits + F.when(bump, 1).otherwise(0).cast("decimal(1,0)")).cast("decimal(38,0)")
+    shown = F.lpad(digits.cast("string"), F.greatest(F.length(digits.cast("string")), F.lit(scale + 1)), F.lit("0"))
+    if scale:
+        shown = F.concat(F.substring(shown, F.lit(1), F.length(shown) - scale), F.lit("."), F.substring(shown, F.length(shown) - scale + 1, F.lit(scale)))
+    shown = F.concat(F.when((F.regexp_extract(text, number, 1) == "-") & (digits != 0), "-").otherwise(""), shown)
+    return F.when(text.rlike(number) & text.rlike("[0-9]"), shown)
 
 
 def apply(x: Column, transforms: list[dict], macros: dict[str, Callable] | None = None, local_zone: str = "UTC") -> tuple[Column, list[Column]]:

@@ -116,9 +116,15 @@ def merge(existing: DataFrame, incoming: DataFrame, h: History) -> DataFrame:
     return windows(rows, h).drop("_existing").select(*existing.columns)
 
 
+def without_keys(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """target without the rows whose keys are in rows; null equals null."""
+    a, b = target.alias("a"), rows.select(*keys).distinct().alias("b")
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]), "left_anti")
+
+
 def keyed_replace(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """target with all rows of the keys in `rows` replaced by `rows`."""
-    return target.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
+    """target with all rows of the keys in `rows` replaced by `rows`; null equals null."""
+    return without_keys(target, rows, keys).unionByName(rows)
 
 
 def window_failures(rows: DataFrame, h: History, mode: str = "continuous") -> DataFrame:
@@ -157,6 +163,12 @@ def duplicate_metrics(rows: DataFrame, h: History, existing: str = "_existing")
     return rows.agg(F.count(F.lit(1)).alias("versions"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in flags])
 
 
+def equal_to_current(incoming: DataFrame, existing: DataFrame, h: History) -> DataFrame:
+    """Incoming rows whose entity has a current version of the same content."""
+    now = existing.filter(F.col(h.current) == "Y").alias("e")
+    return incoming.alias("n").join(now, _same("n", "e", [*h.keys, h.hash]) & (_deleted("n", h) == _deleted("e", h)), "left_semi")
+
+
 def manual_state_failures(candidate: DataFrame, h: History, has_current: bool = True) -> DataFrame:
     """keys and STATE_DETAILS of entities whose source-managed windows break a rule: the last message by name."""
     w = h.by_key

@@ -41,3 +41,14 @@ def require_valid(df: DataFrame) -> None:
     g = guard(df).first()
     if g.VALIDATION_FAILURE_COUNT:
         raise ValidationFailed(f"{g.VALIDATION_FAILURE_COUNT} validation row(s) failed. First failure: {g.VALIDATION_FAILURE_DETAILS}")
+
+
+def mark_repeated(df: DataFrame, x: Column, name: str) -> DataFrame:
+    """df with a flag: whether another row has the same value of x; never for null.
+
+    Values are counted before anything is shuffled whole, and only those that occur more than once are joined, so that a value
+    or null in very many rows never meets in one task.
+    """
+    counted = df.select(x.alias("_value")).filter("_value IS NOT NULL").groupBy("_value").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_value")
+    marked = df.withColumn("_own", x).join(counted, F.col("_own") == F.col("_value"), "left")
+    return marked.withColumn(name, F.col("_value").isNotNull()).drop("_own", "_value")

@@ -1,7 +1,11 @@
 """A load: from a checked specification to a committed table.
 
-The order is source, verdicts, guard, typed rows, history, window checks, quarantine, table, bookmark, job event. Verdicts
-are written once beside the tables and read for all that follows. Nothing of the target is seen before its commit.
+The order is source, verdicts, guard, typed rows, history, window checks, table, quarantine, bookmark, contract, job event.
+Verdicts are written once beside the tables and read for all that follows. Nothing of the target is seen before its commit.
+
+The commit names the version that the load read. If another load has committed since, the work on the target is done again
+from the new version. Side tables, which many loads share, are tried again until they are written; they come after the target,
+so that a load that breaks off between them can be run again: its versions are there and change nothing.
 """
 
 from __future__ import annotations
@@ -37,9 +41,13 @@ _CONTRACTS = "DATABASE_NAME string, SCHEMA_NAME string, TABLE_NAME string, COLUM
 # Tags that contracts know, and the texts of job details.
 _KNOWN_TAGS = ("PII_CATEGORY", "PCI_CATEGORY", "DATA_CLASSIFICATION")
 _DETAIL_RULES = "validation errors failed the load"
-_DETAIL_RUN = "dbt run failed; inspect dbt artifacts for runtime details"
+_DETAIL_RUN = "the load failed; see the error that was raised"
 _DETAIL_QUARANTINE = "validation errors written to quarantine output"
 
+# Strings and comments of SQL, which are passed over, or a relation's name after FROM, JOIN or a comma of a FROM clause.
+_RELATION = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/|\b(?:from|join)\s+(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?!\s*\()""", re.I | re.S)
+_CTE = re.compile(r"(?:\bwith(?:\s+recursive)?|,)\s+([A-Za-z_]\w*)\s*(?:\([^()]*\)\s*)?as\s*\(", re.I)
+
 
 @dataclass
 class Report:
@@ -74,7 +82,7 @@ class Loader:
         self.job_id = job_id or uuid.uuid4().hex
         self.spec_name, self.governance, self.fault = spec_name, governance, fault
         self.process_key = str(self.variables.get("audit_data_process_key", "manual"))
-        self.high = None
+        self.high, self.base = None, None
 
     # ---- sources
 
@@ -91,14 +99,21 @@ class Loader:
             stamp = "TIMESTAMP_NTZ'{}'".format
             text = text.replace(call, f"({column} > {stamp(low or '1900-01-01 00:00:00')} AND {column} <= {stamp(high)})" if high else "(false)")
 
+        views, own = [], {n.upper() for n in _CTE.findall(text)}
+
         def view(m: re.Match) -> str:
-            short = ".".join(m[2].upper().split(".")[-2:])
-            if short not in self.references and not self.store.exists(short):
-                return m[0]
-            self.relation(m[2]).createOrReplaceTempView(name := f"_{self.job_id[:12]}_{short.replace('.', '_')}")
-            return f"{m[1]} {name}"
+            short = ".".join((m["name"] or "").upper().split(".")[-2:])
+            if not m["name"] or short in own or (short not in self.references and not self.store.exists(short)):
+                return m[0]  # a string, a comment, a name of the query's own or of the catalog
+            views.append(f"_{self.job_id[:12]}_{short.replace('.', '_')}")
+            self.relation(m["name"]).createOrReplaceTempView(views[-1])
+            return m[0][: m.start("name") - m.start()] + views[-1]
 
-        return scan.read_table(self.spark, query=re.sub(r"\b(from|join)\s+([A-Za-z_][\w.]*)", view, text, flags=re.I))
+        try:
+            return scan.read_table(self.spark, query=_RELATION.sub(view, text))
+        finally:  # the plan has been resolved by now
+            for name in views:
+                self.spark.catalog.dropTempView(name)
 
     def source(self) -> DataFrame:
         """The source's rows; CSV columns are strings."""
@@ -110,7 +125,7 @@ class Loader:
             path = self.source_path or seed.get("file") or "/".join([str(self.variables.get("csv_stage") or location.get("stage", ".")), location["filename"]])
             if "://" not in path and not path.startswith("/"):
                 path = str((self.folder / path).resolve())
-            df = scan.read_csv(self.spark, path, s.get("header", True), delimiter=s.get("delimiter", ","), quotechar=s.get("quotechar", '"'), lineterminator=s.get("lineterminator"))
+            df = scan.read_csv(self.spark, path, s.get("header", True), delimiter=s.get("delimiter", ","), quotechar=s.get("quotechar", '"'), lineterminator=s.get("lineterminator"), quoting=s.get("quoting", "minimal"))
             if s.get("header", True):
                 problems = scan.check_header(df.columns, [(f.source.get("pos"), f.source.get("column")) for f in self.spec.fields if "pos" in f.source or "column" in f.source])
                 if problems:
@@ -130,14 +145,11 @@ class Loader:
     def _lookup(self, df: DataFrame, f: Field) -> DataFrame:
         x = f.lookup
         reference = self.relation(x["reference_entity"])
-        if DELETED not in reference.columns:
-            reference = reference.withColumn(DELETED, F.lit("N"))
-        if CURRENT not in reference.columns:
-            reference = reference.withColumn(CURRENT, F.lit("Y"))
-        live = reference.filter((F.col(CURRENT) == "Y") & (F.coalesce(DELETED, F.lit("N")) == "N"))
+        for name, value in ((DELETED, "N"), (CURRENT, "Y")):
+            if name not in reference.columns:
+                reference = reference.withColumn(name, F.lit(value))
         key = x["reference_attribute"]
-        right = live.select(F.col(key).cast("string").alias("_key"), F.col(x.get("return_attribute", key)).cast("string").alias(f.name))
-        return df.join(right, F.expr(x["source_expression"]).cast("string") == F.col("_key"), "left").drop("_key")
+        return scan.lookup(df, reference, F.expr(x["source_expression"]), key, x.get("return_attribute", key), f.name, CURRENT, DELETED)
 
     def _text(self, df: DataFrame, f: Field, plain: bool = False) -> Column:
         """The text of a field, with its defaults unless plain."""
@@ -171,7 +183,7 @@ class Loader:
 
     def _judge(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         """(rows of _src and _typed, messages in their order)."""
-        typed, failures = [], []
+        typed, failures, repeated = [], [], []
         for f in self.spec.fields:
             kind = parse_type(f.data_type)
             x, unparsed = transforms.apply(self._text(df, f), list(f.transforms), self.macros, str(self.variables.get("local_timezone", "UTC")))
@@ -184,9 +196,14 @@ class Loader:
             nullable = f.nullable and not (f.lookup or {}).get("required")
             failures += rules.field_failures(f.id, x, f.data_type, nullable, list(f.validations), unparsed, Rules(self.macros))
             if f.unique:
-                failures.append(rules.unique_failure(f.id, value))
+                repeated.append((len(failures), f))
+                failures.append(F.lit(None).cast("string"))
         source = F.struct(*[self._as_text(df, c).alias(c.upper()) for c in df.columns])
-        return df.select(source.alias("_src"), F.struct(*typed).alias("_typed"), *[m.alias(f"_m{i}") for i, m in enumerate(failures)]), [F.col(f"_m{i}") for i in range(len(failures))]
+        out = df.select(source.alias("_src"), F.struct(*typed).alias("_typed"), *[m.alias(f"_m{i}") for i, m in enumerate(failures)])
+        for i, f in repeated:
+            out = V.mark_repeated(out, F.col("_typed").getField(f.name), "_repeated")
+            out = out.withColumn(f"_m{i}", rules.unique_failure(f.id, F.col("_repeated"))).drop("_repeated")
+        return out, [F.col(f"_m{i}") for i in range(len(failures))]
 
     @staticmethod
     def _as_text(df: DataFrame, c: str) -> Column:
@@ -250,15 +267,16 @@ class Loader:
         deleted = F.col(flag["field"].upper()).cast("string") if flag.get("field") else F.lit(str(flag.get("value", "N")))
         return rows.withColumns({h.valid_from: start, DELETED: deleted})
 
-    def existing(self, incoming: DataFrame) -> DataFrame:
-        """The target's versions with the internal columns of `incoming`; empty where there is no table or it is rebuilt."""
+    def existing(self, incoming: DataFrame, m: dict | None, whole: bool = True) -> DataFrame:
+        """The target's versions, as of a manifest, with the internal columns of `incoming`; empty where there is no table or it
+        is rebuilt. Unless `whole`, only the buckets of the incoming keys are read."""
         h = self.spec.history
         wanted = [*incoming.columns, h.valid_to, CURRENT]
         kinds = {f.name: f.dataType for f in incoming.schema}
-        if not self.store.exists(self.spec.table) or self.spec.control.get("truncate_before_load"):
+        if m is None or self.spec.control.get("truncate_before_load"):
             schema = StructType(list(incoming.schema.fields)).add(h.valid_to, kinds[h.valid_from]).add(CURRENT, "string")
             return self.spark.createDataFrame([], StructType([f for f in schema.fields if f.name != self.spec.surrogate]))
-        df = self.store.read(self.spec.table)
+        df = self.store.read(self.spec.table, only=None if whole else self.store.touched(m, incoming), manifest=m)
         if h.keys[0] not in df.columns:
             df = df.withColumn(h.keys[0], keys.hash_key([F.col(f"`{k}`") for k in self.spec.keys]))
         if DATA_HASH not in df.columns:
@@ -282,7 +300,7 @@ class Loader:
         if self.spec.manual:
             return self._manual_rows(valid)
         rows = self.incoming(valid)
-        return self._versions(H.merge(self.existing(rows), rows, self.spec.history)).select(*self._columns())
+        return self._versions(H.merge(self.existing(rows, self.store.manifest(self.spec.table), whole=False), rows, self.spec.history)).select(*self._columns())
 
     def run(self) -> Report:
         """Load and record it; what goes wrong is recorded and raised."""
@@ -303,6 +321,17 @@ class Loader:
             self.store.clear_stage()
         return report
 
+    @staticmethod
+    def _patiently(write: Callable, tries: int = 20):
+        """Repeat a write until no other writer is in its way."""
+        for left in range(tries - 1, -1, -1):
+            try:
+                return write()
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(random.random())
+
     def _load(self, report: Report) -> None:
         spec = self.spec
         if spec.control.get("truncate_before_load") and str(self.variables.get("allow_truncate", "")).lower() != "true":
@@ -310,24 +339,30 @@ class Loader:
         if spec.control.get("incremental_bookmark") and self.high is None:
             self._bounds(None)
         judged = self.store.stage("verdict", self.judged())
-        if spec.manual:
-            judged = self._with_state(judged)
-        counts = V.guard(judged).first()
-        bad = counts.VALIDATION_FAILURE_COUNT
-        if bad and not spec.quarantine:
-            raise V.ValidationFailed(f"{bad} validation row(s) failed. First failure: {counts.VALIDATION_FAILURE_DETAILS}")
-        valid = judged.filter(F.col(V.DETAILS).isNull())
-        commit = {"scd1": self._commit_scd1, "scd2_manual": self._commit_manual}.get(spec.change_type, self._commit_history)(valid, report)
-        if self.fault:
-            self.fault()
-        if bad:
+        make = {"scd1": self._commit_scd1, "scd2_manual": self._commit_manual}.get(spec.change_type, self._commit_history)
+
+        def target() -> tuple[DataFrame, int]:
+            own = self._with_state(judged) if spec.manual else judged
+            counts = V.guard(own).first()
+            bad = counts.VALIDATION_FAILURE_COUNT
+            if bad and not spec.quarantine:
+                raise V.ValidationFailed(f"{bad} validation row(s) failed. First failure: {counts.VALIDATION_FAILURE_DETAILS}")
+            commit = make(own.filter(F.col(V.DETAILS).isNull()), report)
+            if self.fault:
+                self.fault()
+            commit()
+            return own, bad
+
+        judged, report.quarantined = self._patiently(target)
+        if report.quarantined:
             head = [F.lit(self.run_at).cast("timestamp_ntz").alias("LOADED_AT"), F.lit(self.job_id).alias("JOB_ID"), F.col(V.DETAILS)]
-            self.store.append(spec.quarantine_table, V.quarantined(judged).select(*head, "_src.*"), widen=True)
-            report.quarantined = bad
-        commit()
+            bad_rows = V.quarantined(judged).select(*head, "_src.*")
+            self._patiently(lambda: self.store.append(spec.quarantine_table, bad_rows, widen=True))
         report.loaded = self.store.read(spec.table).count()
-        self._advance()
-        self._govern()
+        self._patiently(self._advance)
+        self._patiently(self._contract)
+        if self.governance and spec.target.get("tag_application") == "apply_governance":
+            self.governance(spec.table)
 
     def _extra(self) -> dict:
         return {"tags": self.spec.target.get("tags") or {}, "column_tags": {f.name: dict(f.tags) for f in self.spec.fields if f.tags}}
@@ -339,11 +374,15 @@ class Loader:
     def _commit_history(self, valid: DataFrame, report: Report):
         spec, h = self.spec, self.spec.history
         incoming = self.incoming(valid)
-        existing = self.existing(incoming)
-        rows = self.store.stage("versions", self._versions(H.merge(existing, incoming, h)))
         mode = spec.window_mode
+        m = self.store.manifest(spec.table)
+        base = m["version"] if m else 0
+        existing = self.existing(incoming, m, whole=False)
+        rows = self.store.stage("versions", self._versions(H.merge(existing, incoming, h)))
         if mode:
-            checked = H.after_load(rows.select(*existing.columns), existing, h) if spec.whole_validation else rows
+            checked = rows
+            if spec.whole_validation:
+                checked = H.after_load(rows.select(*existing.columns), self.existing(incoming, m), h)
             if not spec.quarantine:
                 H.require_windows(checked, h, mode)
             else:
@@ -353,14 +392,14 @@ class Loader:
                     rows = self.store.stage("sound", rows.join(bad, list(h.keys), "left_anti"))
         report.rewritten = rows.count()
         if str(self.variables.get("log_scd2_duplicate_hash_metrics", "")).lower() == "true":
-            report.metrics = H.duplicate_metrics(rows, h).first().asDict()
+            report.metrics = {**H.duplicate_metrics(rows, h).first().asDict(), "equal_current": H.equal_to_current(incoming, existing, h).count()}
         out = rows.select(*self._columns())
         key = [spec.key_name] if spec.key_name else spec.keys
         if spec.control.get("truncate_before_load"):
-            return lambda: self.store.overwrite(spec.table, out, key, self._extra())
-        if not report.rewritten and self.store.exists(spec.table):
+            return lambda: self.store.overwrite(spec.table, out, key, self._extra(), base=base)
+        if not report.rewritten and base:
             return lambda: None
-        return lambda: self.store.replace_keys(spec.table, out, key, self._extra())
+        return lambda: self.store.replace_keys(spec.table, out, key, self._extra(), base=base)
 
     # ---- histories that the source manages
 
@@ -375,8 +414,10 @@ class Loader:
         spec = self.spec
         h = H.History(tuple(spec.keys), valid_from=spec.history.valid_from, valid_to=spec.history.valid_to)
         typed = judged.filter(F.col(V.DETAILS).isNull()).select("_typed.*")
-        if self.store.exists(spec.table) and not spec.control.get("truncate_before_load"):
-            existing = self.store.read(spec.table).select(*typed.columns)
+        m = self.store.manifest(spec.table)
+        self.base = m["version"] if m else 0
+        if m and not spec.control.get("truncate_before_load"):
+            existing = self.store.read(spec.table, manifest=m).select(*typed.columns)
         else:
             existing = self.spark.createDataFrame([], typed.schema)
         upsert = spec.scd.get("update_mode") == "upsert"
@@ -393,13 +434,14 @@ class Loader:
         rows = self.store.stage("manual", self._manual_rows(valid))
         report.rewritten = rows.count()
         key = [spec.key_name] if spec.key_name else spec.keys
-        if spec.control.get("truncate_before_load") or not self.store.exists(spec.table):
-            return lambda: self.store.overwrite(spec.table, rows, key, self._extra())
+        base = self.base
+        if spec.control.get("truncate_before_load") or not base:
+            return lambda: self.store.overwrite(spec.table, rows, key, self._extra(), base=base)
         if not report.rewritten:
             return lambda: None
         if spec.scd.get("update_mode") == "upsert":
-            return lambda: self.store.replace_keys(spec.table, rows, key, self._extra(), spec.update_keys)
-        return lambda: self.store.append(spec.table, rows, extra=self._extra())
+            return lambda: self.store.replace_keys(spec.table, rows, key, self._extra(), spec.update_keys, base)
+        return lambda: self.store.append(spec.table, rows, extra=self._extra(), base=base)
 
     # ---- bookmarks, jobs, governance
 
@@ -432,16 +474,10 @@ class Loader:
         df = self.spark.createDataFrame([row], _JOBS)
         if done:
             df = df.withColumns({"LOADED_COUNT": F.lit(report.loaded).cast("decimal(38,0)"), "QUARANTINE_COUNT": F.lit(report.quarantined).cast("decimal(38,0)")})
-        for left in range(19, -1, -1):  # loads that run at once share the table
-            try:
-                return self.store.append(self.spec.job_table, df)
-            except Conflict:
-                if not left:
-                    raise
-                time.sleep(random.random())
+        self._patiently(lambda: self.store.append(self.spec.job_table, df))  # loads that run at once share the table
 
-    def _govern(self) -> None:
-        """Contract rows of tagged or described columns, then the procedure."""
+    def _contract(self) -> None:
+        """Contract rows of tagged or described columns."""
         target = self.spec.target
         contract = target.get("governance_contract") or {}
         if target.get("tag_application") != "apply_governance":
@@ -455,8 +491,6 @@ class Loader:
                 rows.append((str(target.get("database", "")).upper(), schema, table, f.name, *known, f.description, contract.get("source"), contract.get("version") and str(contract["version"]), self.run_at, os.environ.get("USER", "spark")))
         if rows and contract.get("table"):
             self.store.replace_keys(contract["table"], self.spark.createDataFrame(rows, _CONTRACTS), ["DATABASE_NAME", "SCHEMA_NAME", "TABLE_NAME", "COLUMN_NAME"])
-        if self.governance:
-            self.governance(self.spec.table)
 
 
 def load_file(spark: SparkSession, path: str | Path, store: Snapshots, variables: dict | None = None, search: list[str] = (), macro_folders: list[str] = (), **more) -> Report:

@@ -166,7 +166,8 @@ def all_messages(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey IS NOT NULL AND count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'field `cust` duplicates a value for a unique field' END FAILURE_DETAILS FROM orders")
 def unique_violation(spark, d):
-    return V.verdict(_t(spark, d, "orders"), [rules.unique_failure("cust", F.col("o_custkey"))]).select("o_orderkey", V.DETAILS)
+    o = V.mark_repeated(_t(spark, d, "orders"), F.col("o_custkey"), "again")
+    return V.verdict(o, [rules.unique_failure("cust", F.col("again"))]).select("o_orderkey", V.DETAILS)
 
 
 @query("SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-9]+') a, regexp_full_match(p_brand, 'Brand|x') b, length(p_brand) > 3 AND regexp_full_match(p_name, '.*[aeiou]') c FROM part")
@@ -235,8 +236,9 @@ def keyed_replace(spark, d):
 def lookup_join(spark, d):
     live = lambda df, when: df.withColumn("IS_CURRENT_FLAG", F.when(when, "Y").otherwise("N")).withColumn("IS_DELETED_FLAG", F.lit("N"))
     c, n, r = _t(spark, d, "customer"), _t(spark, d, "nation"), _t(spark, d, "region")
-    c = scan.lookup(c, live(n, F.col("n_nationkey") % 4 != 0), F.col("c_nationkey") == F.col("n_nationkey"), "n_name", "nation")
-    return scan.lookup(c, live(r, F.lit(True)), F.col("n_regionkey") == F.col("r_regionkey"), "r_name", "region").select("c_custkey", "nation", "region")
+    n = live(n, F.col("n_nationkey") % 4 != 0)
+    c = scan.lookup(scan.lookup(c, n, F.col("c_nationkey"), "n_nationkey", "n_name", "nation"), n, F.col("c_nationkey"), "n_nationkey", "n_regionkey", "regionkey")
+    return scan.lookup(c, live(r, F.lit(True)), F.col("regionkey"), "r_regionkey", "r_name", "region").select("c_custkey", "nation", "region")
 
 
 # ---- history

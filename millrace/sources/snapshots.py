@@ -1,8 +1,11 @@
 """Tables of immutable Parquet parts under manifests.
 
-A table is a folder. Each commit writes new parts to `v=<n>` and then creates `_manifest-<n>.json`, which names all live
-parts; the file must not exist, so of two writers one fails. Readers take the manifest with the largest number. Nothing is
-seen before its manifest is there, which makes a failed load leave the table as it was.
+A table is a folder. Each commit writes new parts to a folder of their own and then publishes `_manifest-<n>.json`, which
+names all live parts. A manifest is written under another name and put in place whole, by a step that fails if the number is
+taken: a hard link on a local disk, a rename without overwriting elsewhere (HDFS has it; on an object store without such a
+rename only one writer may commit to a table at a time). Readers take the manifest with the largest number, so that nothing is
+seen before its manifest is there and a failed load leaves the table as it was. A writer that made its rows from what it read
+gives the version it read (`base`); if another one has committed since, it gets Conflict and its rows are not seen.
 
 Keyed tables are cut into buckets by a hash of the key: a commit rewrites the buckets of the keys that change and carries
 the others over by name.
@@ -11,13 +14,17 @@ the others over by name.
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.history import without_keys
+
 _BUCKET = "_bucket"
 
 
@@ -66,24 +73,44 @@ class Snapshots:
 
     def _commit(self, table: str, version: int, schema: StructType, parts: dict[str, str], extra: dict | None = None, keys: list[str] = (), buckets: int | None = None) -> None:
         body = {"version": version, "schema": json.loads(schema.json()), "parts": parts, "keys": list(keys), "buckets": buckets or self.buckets, **(extra or {})}
-        p = self._path(f"{self.dir(table)}/_manifest-{version}.json")
-        try:
-            stream = self._fs(p).create(p, False)
-        except Exception as e:
-            raise Conflict(f"version {version} of {table} is there already") from e
+        folder = self.dir(table)
+        p, held = self._path(f"{folder}/_manifest-{version}.json"), self._path(f"{folder}/_tmp-{uuid.uuid4().hex}")
+        fs = self._fs(held)
+        stream = fs.create(held, False)
         try:
             stream.write(bytearray(json.dumps(body).encode()))
         finally:
             stream.close()
+        try:
+            self._publish(fs, held, p)
+        except Exception as e:
+            if not fs.exists(p):
+                raise
+            raise Conflict(f"version {version} of {table} is there already") from e
+        finally:
+            fs.delete(held, False)
+
+    def _publish(self, fs, held, p) -> None:
+        """Give a file its final name unless that is taken."""
+        if fs.getUri().getScheme() == "file":
+            os.link(*(unquote(fs.makeQualified(x).toUri().getRawPath()) for x in (held, p)))
+            return
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(held, p, self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+
+    def _expect(self, table: str, m: dict | None, base: int | None) -> None:
+        if base is not None and (m or {"version": 0})["version"] != base:
+            raise Conflict(f"{table} has been changed since version {base}")
 
     # ---- reading
 
     def exists(self, table: str) -> bool:
         return self.manifest(table) is not None
 
-    def read(self, table: str, schema: StructType | None = None, only: list[str] | None = None) -> DataFrame:
-        """The table, or some of its buckets; an empty frame of the schema where there is none."""
-        m = self.manifest(table)
+    def read(self, table: str, schema: StructType | None = None, only: list[str] | None = None, manifest: dict | None = None) -> DataFrame:
+        """The table, or some of its parts, as of a manifest; an empty frame of the schema where there is none."""
+        m = manifest or self.manifest(table)
         if m is None:
             if schema is None:
                 raise LookupError(f"table {table} does not exist")
@@ -117,16 +144,26 @@ class Snapshots:
         if old != [(f.name.upper(), f.dataType) for f in df.schema]:
             raise SchemaChanged(f"the columns of {table} have changed")
 
-    def overwrite(self, table: str, df: DataFrame, keys: list[str] = (), extra: dict | None = None, same_schema: bool = False) -> None:
+    def touched(self, m: dict, rows: DataFrame) -> list[str] | None:
+        """The parts of a keyed table that may hold keys of rows, whose columns they are; None for a table without keys."""
+        if not m["keys"] or not set(m["keys"]) <= set(rows.columns):
+            return None
+        # at most `buckets` numbers
+        found = {str(r[0]) for r in rows.select(self._bucket(m["keys"], m["buckets"])).distinct().collect()}
+        return [k for k in m["parts"] if k.split("+")[0] in found]
+
+    def overwrite(self, table: str, df: DataFrame, keys: list[str] = (), extra: dict | None = None, same_schema: bool = False, base: int | None = None) -> None:
         """Replace the whole table; df may read the table itself."""
         m = self.manifest(table)
+        self._expect(table, m, base)
         if same_schema:
             self._fits(table, m, df)
         self._commit(table, (m or {"version": 0})["version"] + 1, df.schema, self._write(table, df, list(keys), self.buckets), extra, keys)
 
-    def append(self, table: str, df: DataFrame, widen: bool = False, extra: dict | None = None) -> None:
+    def append(self, table: str, df: DataFrame, widen: bool = False, extra: dict | None = None, base: int | None = None) -> None:
         """Add rows. With widen, new columns are added to the table, and its own that df lacks are null."""
         m = self.manifest(table)
+        self._expect(table, m, base)
         if m is None:
             return self._commit(table, 1, df.schema, self._write(table, df, [], self.buckets), extra)
         schema = StructType.fromJson(m["schema"])
@@ -146,28 +183,27 @@ class Snapshots:
             parts = self._write(table, df, [], self.buckets)
         self._commit(table, m["version"] + 1, schema, {**m["parts"], **parts}, extra, m["keys"], m["buckets"])
 
-    def replace_keys(self, table: str, rows: DataFrame, keys: list[str], extra: dict | None = None, match: list[str] | None = None) -> int:
+    def replace_keys(self, table: str, rows: DataFrame, keys: list[str], extra: dict | None = None, match: list[str] | None = None, base: int | None = None) -> int:
         """Put rows in place of all rows of their keys (of `match`, a longer key, where given). Only the buckets of the keys
         are read and written. rows should be a written table, as they are read twice. Gives the number of buckets."""
         m = self.manifest(table)
+        self._expect(table, m, base)
         if m is None:
             self._commit(table, 1, rows.schema, self._write(table, rows, keys, self.buckets), extra, keys)
             return self.buckets
         self._fits(table, m, rows)
         if m["keys"] != list(keys):
             on = match or keys
-            kept = _without(self.read(table), rows, on)
+            kept = without_keys(self.read(table, manifest=m), rows, on)
             self._commit(table, m["version"] + 1, rows.schema, self._write(table, kept.unionByName(rows), keys, self.buckets), extra, keys)
             return self.buckets
-        # at most `buckets` numbers
-        touched = {str(r[0]) for r in rows.select(self._bucket(keys, m["buckets"])).distinct().collect()}
-        if not touched:
+        live = self.touched(m, rows)
+        if rows.isEmpty():
             return 0
-        live = [k for k in m["parts"] if k.split("+")[0] in touched]
-        kept = _without(self.read(table, only=live), rows, match or keys)
+        kept = without_keys(self.read(table, only=live, manifest=m), rows, match or keys)
         parts = self._write(table, kept.unionByName(rows.select(*kept.columns)), keys, m["buckets"])
         self._commit(table, m["version"] + 1, rows.schema, {**{k: v for k, v in m["parts"].items() if k not in live}, **parts}, extra, keys, m["buckets"])
-        return len(touched)
+        return len({k.split("+")[0] for k in live})
 
     def stage(self, label: str, df: DataFrame) -> DataFrame:
         """df written beside the tables and read again: it is used several times, and lost executors cost nothing."""
@@ -200,15 +236,6 @@ class Snapshots:
         return len(gone)
 
 
-def _without(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """df without the rows whose keys are in rows; null equals null."""
-    a, b = df.alias("a"), rows.select(*keys).distinct().alias("b")
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, on, "left_anti")
-
-
 def scratch(spark: SparkSession, label: str) -> Snapshots:
     """A store of its own in the shared folder that spark.checkpoint.dir names; on one machine a temporary folder will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -87,7 +87,7 @@ def test_failed_load_leaves_table(spark, store, tmp_path):
     with pytest.raises(RuntimeError):
         Loader(spark, spec, store, tmp_path, fault=sabotage).run()
     assert rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A1",)]
-    assert [(e[1], e[2]) for e in events(store) if e[0] == "JOB_END"][1:] == [("FAILED", "validation errors failed the load"), ("FAILED", "dbt run failed; inspect dbt artifacts for runtime details")]
+    assert [(e[1], e[2]) for e in events(store) if e[0] == "JOB_END"][1:] == [("FAILED", "validation errors failed the load"), ("FAILED", "the load failed; see the error that was raised")]
     loader = Loader(spark, spec, store, tmp_path, source_path=str(tmp_path / "in.csv"))
     assert loader.messages().count() == 0
 

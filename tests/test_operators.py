@@ -147,3 +147,27 @@ def test_bad_windows_are_found(spark):
         H.require_windows(df, D)
     two = H.manual_state_failures(df.withColumn(D.current, F.lit("Y")), D).collect()
     assert {r.k: r.STATE_DETAILS for r in two} == {"A": "scd2_manual has multiple current rows for the same current-row key", "B": "scd2_manual valid_to must be after valid_from"}
+
+
+def test_rounding_decides_by_the_digits(spark):
+    import decimal
+    import random
+
+    random.seed(7)
+    texts = ["0.10000001", "0.49999999999999", "0.999999999999", "1.00000000001", "1234567890123456789012345", "-0.04", "0", "-0", "+7.5", "2.5", "3.5", "-2.5", ".5", "5.", "0.05", "1e3", "-1.25E-1", " 8.45 ", "00012.5"]
+    for _ in range(300):
+        whole, part = random.randint(0, 24), random.randint(0, 12)
+        text = "".join(random.choices("0123456789", k=whole)) + ("." + "".join(random.choices("0459", k=part)) if part else "")
+        texts.append(random.choice(["", "-"]) + text if text else "0")
+    modes = {"half_up": decimal.ROUND_HALF_UP, "half_even": decimal.ROUND_HALF_EVEN, "down": decimal.ROUND_DOWN, "up": decimal.ROUND_UP}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + [None, "", "-", ".", "abc", "1.2.3"])], "k int, t string")
+    for scale in (0, 1, 3, 8):
+        rows = sorted(df.select("k", *[transforms.round_number(F.col("t"), scale, m).alias(m) for m in modes]).collect())
+        for r in rows:
+            for m, mode in modes.items():
+                if r.k >= len(texts):
+                    assert r[m] is None
+                    continue
+                with decimal.localcontext(prec=60):
+                    want = decimal.Decimal(texts[r.k].strip()).quantize(decimal.Decimal(1).scaleb(-scale), mode)
+                assert r[m] == f"{want if want else abs(want):f}", (texts[r.k], scale, m)
