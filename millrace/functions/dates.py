@@ -78,12 +78,12 @@ def parse_timestamp(x: Column, fmt: str, timezone_if_missing: str | None = None,
     if "z" in directives(fmt):
         x = F.regexp_replace(F.regexp_replace(x, r"[Zz]$", "+0000"), r"([+-]\d\d):(\d\d)$", "$1$2")
     out = F.try_to_timestamp(x, F.lit(spark_pattern(fmt)))
+    if time_if_missing and not has_time(fmt):  # the day is that of the zone which the text is in
+        start = F.date_trunc("day", out)
+        out = start if time_if_missing == "start_of_day" else start + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
     if not has_zone(fmt):
         if timezone_if_missing == "local":
             out = F.to_utc_timestamp(out, local_zone)
         elif timezone_if_missing not in ("Z", "UTC"):
             raise FormatError(f"timezone_if_missing is required for {fmt}")
-    if time_if_missing and not has_time(fmt):
-        start = F.date_trunc("day", out)
-        out = start if time_if_missing == "start_of_day" else start + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
     return out

@@ -73,7 +73,7 @@ class Loader:
     """
 
     def __init__(self, spark: SparkSession, spec: Spec | dict, store: Snapshots, folder: str | Path = ".", variables: dict | None = None, macros: Macros | None = None, source_path: str | None = None, references: dict[str, DataFrame] | None = None, run_at: datetime | None = None, job_id: str | None = None, spec_name: str | None = None, governance: Callable[[str], None] | None = None, fault: Callable[[], None] | None = None, source: DataFrame | None = None):
-        self.spark, self.store = spark, store
+        self.spark, self.store = spark, store.own()
         self.spec = spec if isinstance(spec, Spec) else require(spec)
         self.folder, self.variables = Path(folder), variables or {}
         self.macros = macros or Macros([self.folder / "macros", Path.cwd() / "macros"])
@@ -367,8 +367,16 @@ class Loader:
     def _extra(self) -> dict:
         return {"tags": self.spec.target.get("tags") or {}, "column_tags": {f.name: dict(f.tags) for f in self.spec.fields if f.tags}}
 
+    def _tagged(self, rows: DataFrame) -> DataFrame:
+        """rows whose columns carry their tags and descriptions as metadata of the schema, which every reader sees."""
+        for f in self.spec.fields:
+            about = {**({"tags": {str(k): str(v) for k, v in f.tags}} if f.tags else {}), **({"comment": f.description} if f.description else {})}
+            if about and f.name in rows.columns:
+                rows = rows.withMetadata(f.name, about)
+        return rows
+
     def _commit_scd1(self, valid: DataFrame, report: Report):
-        rows = self._scd1(valid)
+        rows = self._tagged(self._scd1(valid))
         return lambda: self.store.overwrite(self.spec.table, rows, extra=self._extra())
 
     def _commit_history(self, valid: DataFrame, report: Report):
@@ -393,7 +401,7 @@ class Loader:
         report.rewritten = rows.count()
         if str(self.variables.get("log_scd2_duplicate_hash_metrics", "")).lower() == "true":
             report.metrics = {**H.duplicate_metrics(rows, h).first().asDict(), "equal_current": H.equal_to_current(incoming, existing, h).count()}
-        out = rows.select(*self._columns())
+        out = self._tagged(rows.select(*self._columns()))
         key = [spec.key_name] if spec.key_name else spec.keys
         if spec.control.get("truncate_before_load"):
             return lambda: self.store.overwrite(spec.table, out, key, self._extra(), base=base)
@@ -431,7 +439,7 @@ class Loader:
 
     def _commit_manual(self, valid: DataFrame, report: Report):
         spec = self.spec
-        rows = self.store.stage("manual", self._manual_rows(valid))
+        rows = self._tagged(self.store.stage("manual", self._manual_rows(valid)))
         report.rewritten = rows.count()
         key = [spec.key_name] if spec.key_name else spec.keys
         base = self.base

@@ -218,14 +218,6 @@ def anti_theta_unchanged(spark, d):
     return a.join(b, cond, "left_anti").select("o_orderkey")
 
 
-@query("""WITH n AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END k FROM customer WHERE c_custkey % 2 = 0)
-SELECT s_suppkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END k FROM supplier) s WHERE EXISTS (SELECT 1 FROM n WHERE n.k IS NOT DISTINCT FROM s.k)""")
-def nullsafe_join(spark, d):
-    n = _t(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("k"))
-    s = _t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 5 != 0, F.col("s_nationkey")).alias("k"))
-    return s.join(n, s["k"].eqNullSafe(n["k"]), "left_semi").select("s_suppkey")
-
-
 @query("""SELECT c_custkey, c_name, 'old' src FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, upper(c_name), 'new' FROM customer WHERE c_custkey % 7 = 0""")
 def keyed_replace(spark, d):
     c = _t(spark, d, "customer")
@@ -355,24 +347,6 @@ def scd2_derived_initial(spark, d):
     return H.merge(_empty(rows, _ORDERS), rows, _ORDERS)
 
 
-@query("""SELECT count(*) bad FROM orders WHERE FALSE""")
-def scd2_derived_backfill(spark, d):
-    """Late rows into existing windows: what breaks the continuous contract afterwards (nothing)."""
-    early = _order_versions(spark, d, "o_orderkey % 3 <> 0")
-    target = H.merge(_empty(early, _ORDERS), early, _ORDERS)
-    late = _order_versions(spark, d, "o_orderkey % 3 = 0")
-    return H.window_failures(H.after_load(H.merge(target, late, _ORDERS), target, _ORDERS), _ORDERS).agg(F.count(F.lit(1)).alias("bad"))
-
-
-@query()
-def scd2_derived_backfill_target(spark, d):
-    """The whole target after late rows came into existing windows; tests compare it with a brute force of both steps."""
-    early = _order_versions(spark, d, "o_orderkey % 3 <> 0")
-    target = H.merge(_empty(early, _ORDERS), early, _ORDERS)
-    late = _order_versions(spark, d, "o_orderkey % 3 = 0")
-    return H.after_load(H.merge(target, late, _ORDERS), target, _ORDERS)
-
-
 _GAPS = "SELECT o_custkey, o_orderkey, o_orderdate AS VALID_FROM_DATETIME, o_orderdate + INTERVAL 30 DAY AS VALID_TO_DATETIME FROM orders"
 _NEXT = f"SELECT *, lead(VALID_FROM_DATETIME) OVER (PARTITION BY o_custkey ORDER BY VALID_FROM_DATETIME, o_orderkey) n FROM ({_GAPS})"
 
@@ -410,44 +384,18 @@ def scd2_manual_state_check(spark, d):
     return H.manual_state_failures(rows, _ORDERS)
 
 
-@query("""WITH old AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, max(o_orderkey) o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), inc AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, max(o_orderkey) o_orderkey FROM orders WHERE o_orderkey % 4 < 2 GROUP BY ALL)
-SELECT * FROM inc UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM inc WHERE inc.o_custkey = old.o_custkey AND inc.VALID_FROM_DATETIME = old.VALID_FROM_DATETIME)""")
-def manual_upsert(spark, d):
-    def one(where):
-        return _t(spark, d, "orders").filter(where).groupBy("o_custkey", F.col("o_orderdate").alias("VALID_FROM_DATETIME")).agg(F.max("o_orderkey").alias("o_orderkey"))
-
-    return H.keyed_replace(one("o_orderkey % 2 = 0"), one("o_orderkey % 4 < 2"), ["o_custkey", "VALID_FROM_DATETIME"])
-
-
-@query("""WITH old AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, max(o_orderkey) o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), inc AS (SELECT o_custkey, o_orderdate AS VALID_FROM_DATETIME, max(o_orderkey) o_orderkey FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL)
-SELECT * FROM inc UNION ALL SELECT * FROM old WHERE o_custkey IN (SELECT o_custkey FROM inc) AND NOT EXISTS (SELECT 1 FROM inc WHERE inc.o_custkey = old.o_custkey AND inc.VALID_FROM_DATETIME = old.VALID_FROM_DATETIME)""")
-def manual_candidates(spark, d):
-    def one(where):
-        return _t(spark, d, "orders").filter(where).groupBy("o_custkey", F.col("o_orderdate").alias("VALID_FROM_DATETIME")).agg(F.max("o_orderkey").alias("o_orderkey"))
-
-    return H.manual_candidate(one("o_orderkey % 2 = 0"), one("o_orderkey % 4 = 0"), _ORDERS, ["o_custkey", "VALID_FROM_DATETIME"])
-
-
 @query(f"""SELECT count(*) versions, coalesce(sum((lag_t = event_type)::INT), 0)::BIGINT equal_previous, coalesce(sum((lead_t = event_type)::INT), 0)::BIGINT equal_next, coalesce(sum((lag2_t = event_type)::INT), 0)::BIGINT equal_second_previous
 FROM (SELECT event_type, lag(event_type) OVER w lag_t, lead(event_type) OVER w lead_t, lag(event_type, 2) OVER w lag2_t FROM ({_ONE}) WINDOW w AS (PARTITION BY user_id ORDER BY ts))""")
 def dup_hash_metrics(spark, d):
     return H.duplicate_metrics(H.one_version(_event_versions(spark, d), _EVENTS), _EVENTS)
 
 
-@query(f"""WITH h AS ({_derived_sql("o_orderkey % 2 = 0")}) SELECT o.o_orderkey fact, h.o_orderkey version_order FROM orders o LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate BETWEEN h.VALID_FROM_DATETIME AND h.VALID_TO_DATETIME""")
-def point_in_time(spark, d):
-    rows = _order_versions(spark, d, "o_orderkey % 2 = 0")
-    versions = H.merge(_empty(rows, _ORDERS), rows, _ORDERS).withColumnRenamed("o_orderkey", "version_order")
-    facts = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("fact"), "o_orderdate")
-    return H.as_of(facts, versions, _ORDERS, "o_orderdate").select("fact", "version_order")
-
-
-# ---- whole tables: the SQL of nullsafe_join, manual_upsert, manual_candidates and point_in_time reads a part of their ids only
+# ---- null-safe joins, windows that the source manages, versions at a time
 
 
 @query("""WITH n AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_nationkey END k FROM customer)
 SELECT s_suppkey FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END k FROM supplier) s WHERE EXISTS (SELECT 1 FROM n WHERE n.k IS NOT DISTINCT FROM s.k)""")
-def nullsafe_join_whole(spark, d):
+def nullsafe_join(spark, d):
     n = _t(spark, d, "customer").select(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("k"))
     s = _t(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_nationkey") % 5 != 0, F.col("s_nationkey")).alias("k"))
     return s.join(n, s["k"].eqNullSafe(n["k"]), "left_semi").select("s_suppkey")
@@ -465,17 +413,17 @@ def _states(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query(_STATES.format(""))
-def manual_upsert_whole(spark, d):
+def manual_upsert(spark, d):
     return H.keyed_replace(*_states(spark, d), ["o_custkey", "VALID_FROM_DATETIME"])
 
 
 @query(_STATES.format("o_custkey IN (SELECT o_custkey FROM inc) AND "))
-def manual_candidates_whole(spark, d):
+def manual_candidates(spark, d):
     return H.manual_candidate(*_states(spark, d), _ORDERS, ["o_custkey", "VALID_FROM_DATETIME"])
 
 
 @query(f"""WITH h AS ({_derived_sql()}) SELECT o.o_orderkey fact, h.o_orderkey version_order FROM orders o LEFT JOIN h ON o.o_custkey = h.o_custkey AND o.o_orderdate BETWEEN h.VALID_FROM_DATETIME AND h.VALID_TO_DATETIME""")
-def point_in_time_whole(spark, d):
+def point_in_time(spark, d):
     rows = _order_versions(spark, d)
     versions = H.merge(_empty(rows, _ORDERS), rows, _ORDERS).withColumnRenamed("o_orderkey", "version_order")
     facts = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("fact"), "o_orderdate")
@@ -598,3 +546,6 @@ def validate_messages(spark, d):
     fields = [_CUSTOMER_FIELDS[0], {**_CUSTOMER_FIELDS[2], "validations": [{"type": "min_value", "value": 0}]}, {**_CUSTOMER_FIELDS[1], "validations": [{"type": "regex", "pattern": "BUILD[A-Z]+"}]}]
     loader = Loader(spark, _spec("scd1", "customer_id", fields), scratch(spark, "validate"), source=_t(spark, d, "customer"))
     return loader.messages().select("C_CUSTKEY", F.array_join("failures", "; ").alias("MESSAGES"))
+
+
+from millrace.plans import load_queries  # noqa: E402, F401  (registers its queries)

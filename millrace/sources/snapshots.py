@@ -43,6 +43,10 @@ class Snapshots:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.staged: list[str] = []
 
+    def own(self) -> Snapshots:
+        """The same tables, with staged files of its own: for a load, which removes its files while others run."""
+        return Snapshots(self.spark, self.root, self.buckets)
+
     # ---- files
 
     def _path(self, text: str):

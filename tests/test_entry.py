@@ -64,6 +64,6 @@ def test_backfilled_target_equals_brute_force(spark, sf):
             if not (equal if v[3] else equal and one[3] and not (two is not None and two[2] == v[2])):
                 versions.append(v)
         want += [(customer, v[1], str(v[0]), "Y" if k == len(versions) - 1 else "N") for k, v in enumerate(versions)]
-    got = engine.queries()["scd2_derived_backfill_target"](spark, sf).collect()
+    got = engine.queries()["scd2_derived_backfill"](spark, sf).collect()
     assert sorted((r.o_custkey, r.o_orderkey, str(r.VALID_FROM_DATETIME), r.IS_CURRENT_FLAG) for r in got) == sorted(want)
     assert len(got) > len({r.o_custkey for r in rows})

@@ -320,3 +320,88 @@ def test_events_of_loads_at_once(spark, store):
     with ThreadPoolExecutor(6) as pool:
         list(pool.map(lambda x: x._event("JOB_START", None), loaders))
     assert rows(store, "BUSINESS.LOAD_JOBS", "JOB_ID") == [(str(i),) for i in range(6)]
+
+
+def test_a_load_between_merge_and_commit_is_not_lost(spark, store):
+    names, once = "account_id account_value", []
+    load(spark, store, auto(), names, ("A1", "1"))
+
+    def other():
+        if not once:
+            once.append(1)
+            load(spark, store, auto(insert_time="2026-09-02T00:00:00Z"), names, ("A1", "2"))
+
+    report = load(spark, store, auto(insert_time="2026-09-03T00:00:00Z"), names, ("A1", "3"), fault=other)
+    assert report.result == "COMPLETED"
+    assert [r[1:] for r in rows(store, "BUSINESS.ACCOUNT", "VALID_FROM_DATETIME", "ACCOUNT_VALUE", "IS_CURRENT_FLAG")] == [("1", "N"), ("2", "N"), ("3", "Y")]
+
+
+def test_commits_name_the_version_they_read(spark, store):
+    df = spark.range(3).selectExpr("id k", "id v")
+    store.overwrite("A.T", df, ["k"])
+    store.append("A.T", df)
+    for write in (lambda: store.overwrite("A.T", df, ["k"], base=1), lambda: store.append("A.T", df, base=1), lambda: store.replace_keys("A.T", df, ["k"], base=1)):
+        with pytest.raises(Conflict):
+            write()
+    assert store.replace_keys("A.T", df, ["k"], base=2) > 0 and store.read("A.T").count() == 3
+
+
+def test_a_manifest_that_was_never_put_in_place_is_not_seen(spark, store, tmp_path):
+    df = spark.range(3).selectExpr("id k")
+    store.overwrite("A.T", df)
+    held = tmp_path / "tables" / "A" / "T" / "_tmp-0"
+    held.write_text("{")  # a driver that died while it wrote
+    assert store.read("A.T").count() == 3
+    store.append("A.T", df)
+    assert store.read("A.T").count() == 6 and store.manifest("A.T")["version"] == 2
+    assert not [f for f in held.parent.iterdir() if f.name.startswith("_tmp-") and f != held]
+
+
+def test_a_load_reads_the_buckets_of_its_keys(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "t"), buckets=32)
+    data = [(f"A{k}", str(k)) for k in range(200)]
+    load(spark, store, auto(), "account_id account_value", *data)
+    loader = Loader(spark, auto(insert_time="2026-10-01T00:00:00Z"), store, references=table(spark, "account_id account_value", ("A7", "8")))
+    incoming = loader.incoming(loader.judged())
+    m = store.manifest("BUSINESS.ACCOUNT")
+    some, whole = loader.existing(incoming, m, whole=False), loader.existing(incoming, m)
+    assert len(some.inputFiles()) == 1 < len(whole.inputFiles()) and whole.count() == 200
+    assert loader.run().rewritten == 2 and store.read("BUSINESS.ACCOUNT").count() == 201
+
+
+def test_side_tables_are_tried_again(spark, store, monkeypatch):
+    fields = [field("account_id"), field("n", "int", validations=[{"type": "min_value", "value": 2}])]
+    spec = document("scd1", fields, failure_mode="quarantine_row")
+    real, failed = Snapshots.append, []
+
+    def append(self, name, *args, **more):
+        if "QUARANTINE" in name and not failed:
+            failed.append(name)
+            raise Conflict("somebody was first")
+        return real(self, name, *args, **more)
+
+    monkeypatch.setattr(Snapshots, "append", append)
+    assert load(spark, store, spec, "account_id n", ("A1", "1"), ("A2", "2")).result == "COMPLETED_WITH_QUARANTINE"
+    assert failed and rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A2",)] and store.read("INTERMEDIATE.ACCOUNT__QUARANTINE").count() == 1
+
+
+def test_lookups_of_several_rows(spark, store):
+    fields = [field("account_id"), {"id": "country", "lookup": {"reference_entity": "REF.C", "reference_attribute": "code", "source_expression": "c", "return_attribute": "name"}, "data_type": "text"}]
+    refs = table(spark, "account_id c", ("A1", "au"), ("A2", "nz"))
+    pairs = [("au", "Australia"), ("au", "Australia"), ("xx", "a"), ("xx", "b")]
+    refs["REF.C"] = spark.createDataFrame(pairs, "code string, name string")
+    Loader(spark, document("scd1", fields), store, references=refs).run()
+    assert rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID", "COUNTRY") == [("A1", "Australia"), ("A2", "None")]
+    refs["REF.C"] = spark.createDataFrame([*pairs, ("nz", "x"), ("nz", "y")], "code string, name string")
+    with pytest.raises(Exception, match="several live rows"):
+        Loader(spark, document("scd1", fields), store, references=refs).run()
+
+
+def test_paths_need_semi_structured_values(spark, store):
+    fields = [{"id": "account_id", "source": {"column": "n", "snowflake_path": "id"}, "data_type": "text"}]
+    with pytest.raises(Exception, match="semi-structured"):
+        Loader(spark, document("scd1", fields), store, references={"TMP.S": spark.range(2).selectExpr("id n")}).run()
+    with pytest.raises(Exception, match="quoting"):
+        from millrace.sources import scan
+
+        scan.read_csv(spark, "x", True, quoting="none")
