@@ -353,12 +353,12 @@ def load_duplicate_metrics(spark, d):
     return spark.createDataFrame([tuple(report.metrics[n] for n in names)], ", ".join(f"{n} bigint" for n in names.values()))
 
 
-_MANUAL = [_field("id", "id", "bigint"), _field("segment", "segment", "text"), _field("is_current_flag", "cur", "varchar(1)"), _field("is_deleted_flag", "del", "varchar(1)"), _field("valid_from_datetime", "f", "timestamp_ntz"), _field("valid_to_datetime", "t", "timestamp_ntz")]
+_MANUAL = [_field("id", "id", "bigint"), _field("segment", "segment", "text"), *[_field(n, n, t) for n, t in (("is_current_flag", "varchar(1)"), ("is_deleted_flag", "varchar(1)"), ("valid_from_datetime", "timestamp_ntz"), ("valid_to_datetime", "timestamp_ntz"))]]
 
 
 def _windows(df: DataFrame, segment, current: str, start: str, end: str) -> DataFrame:
     ntz = lambda x: F.lit(x).cast("timestamp_ntz")
-    return df.select(F.col("c_custkey").alias("id"), segment.alias("segment"), F.lit(current).alias("cur"), F.lit("N").alias("del"), ntz(start).alias("f"), ntz(end).alias("t"))
+    return df.select(F.col("c_custkey").alias("id"), segment.alias("segment"), F.lit(current).alias("is_current_flag"), F.lit("N").alias("is_deleted_flag"), ntz(start).alias("valid_from_datetime"), ntz(end).alias("valid_to_datetime"))
 
 
 _MANUAL_COLUMNS = ["ID", "SEGMENT", "IS_CURRENT_FLAG", "VALID_FROM_DATETIME", "VALID_TO_DATETIME"]

@@ -54,6 +54,13 @@ BLOCKS: dict[str, dict] = {
     "field_source": {"pos": _NUMBER, "column": _TEXT, "snowflake_path": _TEXT, "default_value": _ANY, "default_from_field": _TEXT, "macro": _TEXT, "args": _MAP, "fixed_value": _ANY},
     "lookup": {"reference_entity": _TEXT, "reference_attribute": _TEXT, "source_expression": _TEXT, "return_attribute": _TEXT, "required": _FLAG},
 }
+# The keys of each transform and rule, and the words that some of them take.
+_STEP_KEYS = {
+    "trim": {"side": {"both", "left", "right"}}, "round": {"scale": None, "mode": {"half_up", "half_even", "down", "up"}}, "parse_date": {"format": None},
+    "parse_timestamp": {"format": None, "timezone_if_missing": {"Z", "UTC", "local"}, "time_if_missing": {"start_of_day", "end_of_day"}}, "custom": {"macro": None, "args": None},
+}
+# Fields that a history with source-managed windows must have; their kinds.
+_MANUAL_FIELDS = {"IS_CURRENT_FLAG": "flag", "IS_DELETED_FLAG": "flag", "VALID_FROM_DATETIME": "time", "VALID_TO_DATETIME": "time"}
 _RULES = {"min_length", "max_length", "regex", "allowed_values", "min_value", "max_value", "precision", "custom"}
 _TRANSFORMS = {"trim", "round", "parse_date", "parse_timestamp", "custom"}
 
@@ -125,13 +132,35 @@ def _fields(spec: Spec, abstract: bool) -> list[Problem]:
     return out
 
 
+def _compiles(pattern) -> bool:
+    """Whether a pattern is a regular expression here and, where a JVM runs, in Java, which is what applies it."""
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        re.compile(pattern)
+        if SparkContext._active_spark_context is not None:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, TypeError, IllegalArgumentException):
+        return False
+    return True
+
+
 def _steps(f: dict, at: str) -> list[Problem]:
     out: list[Problem] = []
     for j, t in enumerate(f.get("transforms") or []):
         place = f"{at}.transforms[{j}]"
-        if t.get("type") not in _TRANSFORMS:
-            out.append((place, f"unknown transform `{t.get('type')}`"))
+        if not isinstance(t, dict) or t.get("type") not in _TRANSFORMS:
+            out.append((place, f"unknown transform `{t.get('type') if isinstance(t, dict) else t}`"))
             continue
+        for key in set(t) - {"type"}:
+            words = _STEP_KEYS[t["type"]].get(key, ())
+            if words == ():
+                out.append((f"{place}.{key}", f"{t['type']} takes no `{key}`"))
+            elif words and t[key] not in words:
+                out.append((f"{place}.{key}", f"must be one of {', '.join(sorted(words))}"))
+        if t["type"] == "round" and (not isinstance(t.get("scale", 0), int) or isinstance(t.get("scale", 0), bool) or not 0 <= t.get("scale", 0) <= 37):
+            out.append((f"{place}.scale", "must be a number of decimals from 0 to 37"))
         if t["type"] in ("parse_date", "parse_timestamp"):
             try:
                 dates.spark_pattern(t["format"])
@@ -148,9 +177,7 @@ def _steps(f: dict, at: str) -> list[Problem]:
         if r.get("type") not in _RULES:
             out.append((place, f"unknown validation `{r.get('type')}`"))
         elif r["type"] == "regex":
-            try:
-                re.compile(r.get("pattern", r.get("value")))
-            except (re.error, TypeError):
+            if not _compiles(r.get("pattern", r.get("value"))):
                 out.append((place, "pattern is no regular expression"))
         elif r["type"] == "custom" and not r.get("macro"):
             out.append((place, "macro is required"))
@@ -180,14 +207,32 @@ def _sources(spec: Spec, abstract: bool) -> list[Problem]:
     query = s.get("query")
     if query and (not re.match(r"\s*(select|with)\b", query, re.I) or ";" in query):
         out.append(("$.source.query", "must be one SELECT or WITH statement without a semicolon"))
+    if csv and "seed" in s and s.get("load_method") != "dbt_seed":
+        out.append(("$.source.seed", "needs load_method dbt_seed"))
     flat = s.get("flatten") or []
-    for i, entry in enumerate(flat if isinstance(flat, list) else [flat]):
+    flat = flat if isinstance(flat, list) else [flat]
+    aliases = [str(e["alias"]).upper() for e in flat if isinstance(e, dict) and e.get("alias")]
+    out += [("$.source.flatten", f"alias `{a}` is given twice") for a in sorted({a for a in aliases if aliases.count(a) > 1})]
+    taken: set[str] = set()
+    for i, entry in enumerate(flat):
         if not isinstance(entry, dict) or not entry.get("column") or not entry.get("alias"):
             out.append((f"$.source.flatten[{i}]", "column and alias are required"))
         elif entry.get("mode", "both") not in ("object", "array", "both"):
             out.append((f"$.source.flatten[{i}].mode", "must be object, array or both"))
     for i, f in enumerate(spec.target.get("fields") or []):
         x, at = f.get("source") or {}, f"$.target.fields[{i}].source"
+        if "column" in x and "snowflake_path" not in x and "macro" not in x:
+            column = str(x["column"]).upper()
+            if column in taken:
+                out.append((f"{at}.column", f"another field has the source column `{x['column']}`"))
+            if column in aliases:
+                out.append((f"{at}.snowflake_path", f"is required, since `{x['column']}` is an alias of flatten"))
+            taken.add(column)
+        if csv and not abstract and s.get("load_method") == "dbt_seed" and "fixed_value" not in x and "macro" not in x and "lookup" not in f and any(k in x for k in ("pos", "column")):
+            if s.get("header") is True and "column" not in x:
+                out.append((f"{at}.column", "is required where the file has a header"))
+            if s.get("header") is False and "pos" not in x:
+                out.append((f"{at}.pos", "is required where the file has no header"))
         if "fixed_value" in x and len(x) > 1:
             out.append((at, "fixed_value excludes all other keys"))
         if "macro" in x and any(k in x for k in ("column", "pos", "snowflake_path")):
@@ -223,6 +268,12 @@ def _keys(spec: Spec) -> list[Problem]:
     h = spec.control.get("business_data_hash") or {}
     listed = [x.upper() for x in h.get("fields") or []]
     out += [("$.control_data.business_data_hash.fields", f"`{x}` is no target field") for x in listed if x not in names]
+    if h.get("business_data_hash_mode") == "include" and not h.get("skip_business_data_hash"):
+        made = {spec.surrogate, spec.key_name, *GENERATED, *((spec.history.valid_from, spec.history.valid_to) if spec.change_type != "scd1" else ())}
+        if spec.manual:
+            made |= {*_MANUAL_FIELDS, *([k for k in spec.update_keys if k not in spec.keys] if spec.scd.get("update_mode") == "upsert" else [])}
+        out += [("$.control_data.business_data_hash.fields", f"`{x}` is a key or belongs to the history") for x in listed if x in made]
+    out += [("$.control_data.business_key.fields", f"`{k}` is the generated surrogate key") for k in spec.keys if k == spec.surrogate]
     if h.get("business_data_hash_mode") == "include" and not listed:
         out.append(("$.control_data.business_data_hash.fields", "are required where the mode is include"))
     return out
@@ -253,10 +304,35 @@ def _history(spec: Spec) -> list[Problem]:
             out.append((f"{at}.validity.valid_from", f"a source or a target field `{spec.history.valid_from}` is required"))
         elif parse_type(f.data_type).base not in ("date", "timestamp"):
             out.append(("$.target.fields", f"`{f.id}` must be a date or a timestamp"))
+        until = names.get(spec.history.valid_to)
+        if until is not None and not spec.validity and parse_type(until.data_type).base != "timestamp":
+            out.append(("$.target.fields", f"`{until.id}` must be a timestamp"))
+        if (scd.get("valid_to_datetime") or {}).get("mode", "next_valid_from") != "next_valid_from":
+            out.append((f"{at}.valid_to_datetime.mode", "must be next_valid_from"))
+        flag = scd.get("deleted_flag") or {}
+        if flag.get("mode", "fixed") != "fixed" and not flag.get("field"):
+            out.append((f"{at}.deleted_flag.mode", "must be fixed, or a field must be named"))
+    if not spec.generated:
+        out += [(f"{at}.{k}", "is valid for scd2_auto and scd2_derived only") for k in ("scd2_validation", "scd2_validation_enabled", "validation_scope") if k in scd]
+    if kind != "scd2_auto" and "scd2_auto_from_sot" in scd:
+        out.append((f"{at}.scd2_auto_from_sot", "is valid for scd2_auto only"))
     if kind == "scd2_manual":
-        for column in (spec.history.valid_from, spec.history.valid_to):
-            if column not in names:
-                out.append(("$.target.fields", f"scd2_manual requires `{column}`"))
+        out += [(f"{at}.{k}", "scd2_manual takes update_mode, update_key and validity only") for k in sorted(set(scd) - {"update_mode", "update_key", "validity", "scd2_validation", "scd2_validation_enabled", "validation_scope", "scd2_auto_from_sot", "deduplicate", "delete_detection", "insert_time", "valid_from_datetime"})]
+        if spec.validity:
+            out += [(f"{at}.validity.{b}.source", "is required") for b in ("valid_from", "valid_to") if not (spec.validity.get(b) or {}).get("source")]
+        else:
+            for column, what in _MANUAL_FIELDS.items():
+                f = names.get(column)
+                if f is None:
+                    out.append(("$.target.fields", f"scd2_manual requires `{column}`"))
+                    continue
+                if str(f.source.get("column", "")).upper() != column:
+                    out.append(("$.target.fields", f"`{f.id}` must come from the source column `{column}`"))
+                t = parse_type(f.data_type)
+                if what == "time" and t.base != "timestamp":
+                    out.append(("$.target.fields", f"`{f.id}` must be a timestamp"))
+                if what == "flag" and not (t.base == "string" and t.length == 1):
+                    out.append(("$.target.fields", f"`{f.id}` must be a varchar(1)"))
         if scd.get("update_key") is not None and scd.get("update_mode") != "upsert":
             out.append((f"{at}.update_key", "needs update_mode upsert"))
         out += [(f"{at}.update_key", f"`{k}` is no target field") for k in spec.update_keys if k not in names]

@@ -66,6 +66,19 @@ def test_good_spec_and_its_names():
     ("target.fields.1.source", {"column": "y", "snowflake_path": "a.b"}, "needs a column of a table"),
     ("target.fields.1.source", {"column": "y", "default_from_field": "zzz"}, "no other field"),
     ("target.fields.1.source", {}, "is required"),
+    ("target.fields.1.source", {"column": "ACCOUNT_ID"}, "another field has"),
+    ("target.fields.1.source", {"pos": 1}, "where the file has a header"),
+    ("source.header", False, "where the file has no header"),
+    ("source.load_method", "stage", "needs load_method"),
+    ("target.fields.1.transforms", [{"type": "parse_date", "format": "%Y", "timezone_if_missing": "UTC"}], "takes no"),
+    ("target.fields.1.transforms", [{"type": "round", "mode": "nearest"}], "must be one of"),
+    ("target.fields.1.transforms", [{"type": "round", "scale": -1}], "number of decimals"),
+    ("target.fields.1.transforms", [{"type": "trim", "side": "top"}], "must be one of"),
+    ("target.fields.1.transforms", ["trim"], "unknown transform"),
+    ("control_data.business_data_hash", {"business_data_hash_mode": "include", "fields": ["account_business_key"]}, "key or belongs"),
+    ("control_data.business_key.fields", ["account_key"], "surrogate key"),
+    ("control_data.scd", {"scd2_validation": "sparse"}, "scd2_auto and scd2_derived only"),
+    ("control_data.scd", {"scd2_auto_from_sot": True}, "scd2_auto only"),
 ])
 def test_rejected(path, value, said):
     assert any(said in message for _, message in check(changed(path, value))), check(changed(path, value))
@@ -84,6 +97,55 @@ def test_table_source_rules():
     assert any("alias" in m for _, m in check(spec))
 
 
+def history(kind, scd, *fields):
+    return {"id": "t", "control_data": {"change_type": kind, "business_key": {"fields": ["a"]}, "scd": scd}, "source": {"format": "table", "table": "s"}, "target": {"id": "t", "fields": [{"id": "a", "source": {"column": "a"}, "data_type": "text"}, *fields]}}
+
+
+def own(name, kind, column=None):
+    return {"id": name, "source": {"column": column or name}, "data_type": kind}
+
+
+WINDOWS = [own("is_current_flag", "varchar(1)"), own("is_deleted_flag", "varchar(1)"), own("valid_from_datetime", "timestamp_ntz"), own("valid_to_datetime", "timestamp_ntz")]
+
+
+@pytest.mark.parametrize("spec, said", [
+    (history("scd2_manual", {}, *WINDOWS[1:]), "requires `IS_CURRENT_FLAG`"),
+    (history("scd2_manual", {}, own("is_current_flag", "text"), *WINDOWS[1:]), "varchar(1)"),
+    (history("scd2_manual", {}, *WINDOWS[:3], own("valid_to_datetime", "date")), "must be a timestamp"),
+    (history("scd2_manual", {}, *WINDOWS[:3], own("valid_to_datetime", "timestamp_ntz", "t")), "must come from the source column"),
+    (history("scd2_manual", {"update_key": {"fields": ["a"]}}, *WINDOWS), "needs update_mode"),
+    (history("scd2_manual", {"window_strategy": "previous_and_next"}, *WINDOWS), "update_mode, update_key and validity only"),
+    (history("scd2_manual", {"validity": {"valid_from": {"source": {"column": "f"}}}}), "is required"),
+    (history("scd2_derived", {"valid_to_datetime": {"mode": "fixed"}}, WINDOWS[2]), "next_valid_from"),
+    (history("scd2_derived", {}, WINDOWS[2], own("valid_to_datetime", "date")), "must be a timestamp"),
+    (history("scd2_auto", {"insert_time": "2026-01-01", "update_mode": "upsert"}), "scd2_manual only"),
+    (history("scd2_auto", {"insert_time": "2026-01-01", "delete_detection": {"mode": "field", "field": "a", "value": 1}}), "scd1 only"),
+])
+def test_history_rules(spec, said):
+    assert any(said in message for _, message in check(spec)), check(spec)
+
+
+def test_good_histories_pass():
+    assert check(history("scd2_manual", {"update_mode": "upsert", "update_key": {"fields": ["valid_from_datetime"]}}, *WINDOWS)) == []
+    assert check(history("scd2_derived", {"scd2_validation": "sparse"}, WINDOWS[2])) == []
+    assert check(history("scd2_auto", {"insert_time": "2026-01-01", "scd2_auto_from_sot": False})) == []
+
+
+def test_flatten_rules():
+    spec = history("scd1", {}, {"id": "b", "source": {"column": "x"}, "data_type": "text"})
+    spec["source"]["flatten"] = [{"column": "p", "alias": "x"}, {"column": "q", "alias": "X"}]
+    said = [m for _, m in check(spec)]
+    assert any("given twice" in m for m in said) and any("alias of flatten" in m for m in said)
+    spec["source"]["flatten"] = {"column": "p", "alias": "x"}
+    spec["target"]["fields"][1]["source"]["snowflake_path"] = "n"
+    assert check(spec) == []
+
+
+def test_patterns_must_compile_where_they_run(spark):
+    spec = changed("target.fields.1.validations", [{"type": "regex", "pattern": "(?P<year>[0-9]+)"}])  # Python's own syntax
+    assert any("regular expression" in m for _, m in check(spec))
+
+
 def test_inheritance(tmp_path):
     (tmp_path / "parents").mkdir()
     (tmp_path / "parents" / "Base.yaml").write_text("id: base\ncontrol_data: {change_type: scd1, business_key: {fields: [a, b]}}\ntarget: {id: base, fields: [{id: a, data_type: text, nullable: false}, {id: b, data_type: int}]}\n")
