@@ -3,7 +3,11 @@
 A url without a fitting rule is judged by its host. Every host starts with the shares of all pages that rules allow and
 block there. Trust flows along links, from a host to those it links to; distrust flows against them, to the hosts that
 link to a distrusted one (personalised PageRank with the seeds as restart, at `damping`, not divided by 1 - damping, until all that is still to
-come is below LEAST_MASS pages). A host is blocked where its distrust exceeds its trust by more than `tolerance` of its own share of pages.
+come is below LEAST_MASS pages). A host is blocked where its distrust exceeds its trust by more than `tolerance` of its own share of pages (and MARGIN pages, so that sums of
+equal parts in another order judge alike).
+
+Rules are a short list, which becomes a literal of the plan, or a table (verdict, host, path) of any size: its rows are joined
+by hash with the ends of the distinct hosts of the pages, and each host's fitting rules with its pages.
 
 Links are taken from href attributes; relative ones stay on their host and count for nothing. The graph is an edge
 table with one row for each pair of hosts; each step is a join on the source host and a sum that is begun before the
@@ -22,7 +26,10 @@ from pyspark.sql import functions as F
 from millrace.llm import store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 10_000
+#: Rules of a list that stay a literal; longer lists become a table.
+LITERAL = 1000
+#: Pages that make no difference.
+MARGIN = 1e-6
 #: Pages: what all hosts together could still receive when spreading stops.
 LEAST_MASS = 1e-3
 #: (verdict, host, path)
@@ -42,24 +49,44 @@ def path(url):
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def best_rule(host_col: str, path_col: str, rules):
-    """struct(rule, verdict) of the longest fitting rule, or null. The rules are a literal, of MAX_RULES at most."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    by_host: dict[str, list] = {}
-    for verdict, h, p in rules:
-        entry = F.struct(F.lit(len(h) + len(p)).alias("size"), F.lit(len(h)).alias("host_size"), F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"), F.lit(p).alias("path"))
-        by_host.setdefault(h, []).append(entry)
-    if not by_host:
-        return F.lit(None).cast("struct<rule: string, verdict: string>")
-    table = F.create_map(*[x for h, entries in by_host.items() for x in (F.lit(h), F.array(*entries))])
-    labels = F.split(F.col(host_col), r"\.")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    fitting = F.filter(F.flatten(F.filter(F.transform(ends, lambda e: table[e]), lambda x: x.isNotNull())), lambda r: F.col(path_col).startswith(r["path"]))
+def _ends(host_col):
+    """A host and all domains it lies in."""
+    labels = F.split(host_col, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+
+
+def _entry(host, path, verdict):
+    """Rules compare by length, then by the host's, then blocking before allowing."""
+    return F.struct((F.length(host) + F.length(path)).alias("size"), F.length(host).alias("host_size"), verdict.alias("verdict"), F.concat(host, path).alias("rule"), path.alias("path"))
+
+
+def _best(rules, path):
+    """struct(rule, verdict) of the longest rule of an array that fits a path, or null."""
+    fitting = F.filter(rules, lambda r: path.startswith(r["path"]))
     best = F.array_max(fitting)
     return F.when(F.size(fitting) > 0, F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
+def with_rules(spark: SparkSession, pages: DataFrame, rules) -> DataFrame:
+    """pages (page_id, host, path) with rule and verdict, null where no rule fits."""
+    if not isinstance(rules, DataFrame):
+        if not rules:
+            return pages.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string"))
+        if len(rules) <= LITERAL:
+            by_host: dict[str, list] = {}
+            for verdict, h, p in rules:
+                by_host.setdefault(h, []).append(_entry(F.lit(h), F.lit(p), F.lit(verdict)))
+            table = F.create_map(*[x for h, entries in by_host.items() for x in (F.lit(h), F.array(*entries))])
+            found = F.flatten(F.filter(F.transform(_ends(F.col("host")), lambda e: table[e]), lambda x: x.isNotNull()))
+            return pages.withColumn("best", _best(found, F.col("path"))).select("page_id", "host", "path", "best.rule", "best.verdict")
+        rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    known = rules.select(F.col("host").alias("end"), _entry(F.col("host"), F.col("path"), F.col("verdict")).alias("entry")).distinct()
+    hosts = pages.select("host").distinct().select("host", F.explode(_ends(F.col("host"))).alias("end"))
+    fitting = hosts.join(known, "end").groupBy("host").agg(F.collect_list("entry").alias("rules"))
+    out = pages.join(fitting, "host", "left").withColumn("best", _best(F.coalesce("rules", F.expr("array()").cast(fitting.schema["rules"].dataType)), F.col("path")))
+    return out.select("page_id", "host", "path", "best.rule", "best.verdict")
+
+
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts."""
     found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']((?:[a-z][a-z0-9+.-]*:)?//[^"']*)"""), F.lit(1))
@@ -87,7 +114,7 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float, least: float = LE
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     ruled = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    ruled = ruled.withColumn("best", best_rule("host", "path", rules)).select("page_id", "host", "path", "best.rule", "best.verdict")
+    ruled = with_rules(spark, ruled, rules)
     counts = ruled.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("blocked"))
     counts = store.materialize(counts, "host-pages")
     edges = store.materialize(host_links(pages, url_col, html_col), "host-links")
@@ -98,11 +125,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, damping: float = 0
     seeds = seeds.select("s.kind", "host", F.col("s.n").cast("double").alias("score")).filter("score > 0")
     scores = seeds if edges.isEmpty() else spread(seeds, store.materialize(forward.unionByName(backward), "host-edges"), damping)
     scores = scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(-F.col("score"))).alias("against"))
-    verdicts = counts.join(scores, "host", "left").select("host", F.when(F.coalesce("against", F.lit(0.0)) > tolerance * F.col("pages"), "block").otherwise("allow").alias("host_verdict"))
+    verdicts = counts.join(scores, "host", "left").select("host", F.when(F.coalesce("against", F.lit(0.0)) - tolerance * F.col("pages") > MARGIN, "block").otherwise("allow").alias("host_verdict"))
     return ruled.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"))
 
 
-def sql(rules=RULES, damping: float = 0.85, rounds: int = 8, tolerance: float = 0.5) -> str:
+def sql(rules=RULES, damping: float = 0.85, rounds: int = 48, tolerance: float = 0.5) -> str:
     """The same as one DuckDB statement, but for evidence that comes over more than `rounds` links."""
     fits = "\n    UNION ALL ".join(f"SELECT '{v}' verdict, '{h}' h, '{p}' p" for v, h, p in rules)
     steps = "".join(
@@ -130,5 +157,5 @@ WITH rules AS ({fits}),
     s0 AS (SELECT 'trust' kind, host, CAST(allowed AS DOUBLE) score FROM counts WHERE allowed > 0
         UNION ALL SELECT 'distrust', host, CAST(blocked AS DOUBLE) FROM counts WHERE blocked > 0),{steps}
     against AS (SELECT host, sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) a FROM s{rounds} GROUP BY host),
-    verdicts AS (SELECT c.host, CASE WHEN coalesce(a, 0) > {tolerance} * pages THEN 'block' ELSE 'allow' END host_verdict FROM counts c LEFT JOIN against g ON c.host = g.host)
+    verdicts AS (SELECT c.host, CASE WHEN coalesce(a, 0) - {tolerance} * pages > {MARGIN} THEN 'block' ELSE 'allow' END host_verdict FROM counts c LEFT JOIN against g ON c.host = g.host)
 SELECT page_id, r.host, path, rule, coalesce(verdict, host_verdict) verdict FROM ruled r LEFT JOIN verdicts v ON r.host = v.host"""

@@ -150,3 +150,13 @@ def test_statements_go_and_sentences_stay(spark):
     texts = ["COPYRIGHT HOLDERS BE LIABLE", "Copyright (c) 2020 A", " * Copyright 1999 B. All rights reserved.", "(c) 2001 C", "All rights reserved.", "© D", "copyright notice"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(license_digest.canonical(F.col("t"))).collect()] == ["copyright holders be liable", "", "", "", "", "", "copyright notice"]
+
+
+def test_long_lists_of_rules_are_joined(spark, sf):
+    pages = odd_pages(spark, sf)
+    want = spark_rows(url_filters.judge(spark, pages))
+    many = [*url_filters.RULES, *(("block", f"h{k}.invalid", "/") for k in range(3000))]
+    assert spark_rows(url_filters.judge(spark, pages, rules=many)) == want
+    table = spark.createDataFrame(list(url_filters.RULES) * 2, "verdict string, host string, path string")
+    assert spark_rows(url_filters.judge(spark, pages, rules=table)) == want
+    assert url_filters.judge(spark, pages.limit(0), rules=table).count() == 0
