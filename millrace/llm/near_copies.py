@@ -213,16 +213,21 @@ def _groups(made: DataFrame, least: float) -> DataFrame:
         hubs = rows.groupBy("key").agg(F.min(turn).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "hub")
         pairs = rows.join(hubs, "key").filter("label <> hub.label").select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
         pairs = store.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
-        links = links.unionByName(store.materialize(_linked(pairs, texts, least), "near-links"))
+        held = store.materialize(_linked(pairs, texts, least), "near-links")
+        if held.isEmpty():
+            continue
+        links = links.unionByName(held)
         found = store.materialize(components(links), "near-groups")
     rows = labelled(buckets.filter("n > 2"))  # of two the first hub has compared both
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     rest = store.materialize(rows.join(mixed, "key").select("key", "fp", "label"), "near-rest")
     if rest.isEmpty():
         return found
-    links = links.unionByName(store.materialize(_crowds(rest, texts, least), "near-links"))
-    return components(links)
+    held = store.materialize(_crowds(rest, texts, least), "near-links")
+    return found if held.isEmpty() else components(links.unionByName(held))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
