@@ -4,7 +4,7 @@ A macro is a Python function or an object of a module `<folder>/<module>.py`:
 
 * a transform or validation has `column(x, **args)` or is itself such a function of a Column; a validation gives null or true
   for a valid value, false or a message for others;
-* one that only has `execute(value, **args)` runs over Arrow batches;
+* one that only has `execute(value, **args)` runs over Arrow batches; of row, field and rule it gets what it names;
 * a source takes (df, field, args) and returns df with a column named by the field.
 """
 
@@ -16,6 +16,7 @@ import inspect
 from collections.abc import Callable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +38,14 @@ def normalise_account_name(x: Column) -> Column:
     return F.nullif(F.upper(F.trim(x)), F.lit(""))
 
 
+# Fixed value: the message of the sample rule.
+_NOT_AN_ACCOUNT = "account number must use ACCT followed by 12 non-zero-sequence digits"
+
+
 def validate_account_number(x: Column) -> Column:
     """ACCT and twelve digits that are not all zero."""
     good = x.rlike(r"\AACCT[0-9]{12}\z") & (x != "ACCT000000000000")
-    return F.when(~good, "account number must use ACCT followed by 12 non-zero-sequence digits")
+    return F.when(~good, _NOT_AN_ACCOUNT)
 
 
 #: Macros that need no file.
@@ -86,7 +91,7 @@ class Macros:
 
             return call
         if hasattr(found, "execute"):
-            return lambda x, **args: _batched(found.execute, args)(x.cast("string"))
+            return lambda x, **args: _batched(found.execute, args)(x)
         raise MacroError(f"macro `{name}` has neither column nor execute")
 
     def validation(self, name: str) -> Callable[..., Column]:
@@ -107,24 +112,37 @@ class Macros:
 
 
 def _batched(execute: Callable, args: dict):
+    """execute over batches: it gets the value, of args those that it takes, and the row as a mapping where it takes `row`."""
     accepted = _accepted(execute, args)
-    by_name = "value" in inspect.signature(execute).parameters
+    takes = inspect.signature(execute).parameters
+    by_name, with_row = "value" in takes, "row" in takes
 
-    @F.pandas_udf("string")
-    def batch(values):
-        def one(v):
-            if v is None:
-                return None
-            out = execute(value=v, **accepted) if by_name else execute(v, **accepted)
-            return None if out is None else str(out).lower() if isinstance(out, bool) else str(out)
+    def one(v, row):
+        if v is None:
+            return None
+        more = {**accepted, "row": row} if with_row else accepted
+        out = execute(value=v, **more) if by_name else execute(v, **more)
+        return None if out is None else str(out).lower() if isinstance(out, bool) else str(out)
+
+    if with_row:
 
-        return values.map(one, na_action="ignore").astype("object")
+        @F.pandas_udf("string")
+        def rows(values: pd.Series, row: pd.DataFrame) -> pd.Series:
+            return pd.Series([one(None if pd.isna(v) else v, r) for v, r in zip(values, row.to_dict("records"), strict=True)], dtype="object")
 
-    return batch
+        return lambda x: rows(x.cast("string"), F.struct("*"))
+
+    @F.pandas_udf("string")
+    def batch(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: one(v, None), na_action="ignore").astype("object")
+
+    return lambda x: batch(x.cast("string"))
 
 
 class Rules:
-    """Macros as validations, for functions.rules."""
+    """Macros as validations, for functions.rules; they are told the field and the rule too."""
+
+    context = True
 
     def __init__(self, macros: Macros):
         self.macros = macros

@@ -49,7 +49,8 @@ def rule_failure(name: str, x: Column, rule: dict, macros: dict[str, Callable] |
         fits = text.try_cast(f"decimal({rule['precision']},{rule.get('scale', 0)})")
         return F.when(x.isNotNull() & fits.isNull(), _said(name, "does not fit validation precision/scale"))
     if kind == "custom":
-        return (macros or {})[rule["macro"]](x, **rule.get("args", {}))
+        told = {"field": name, "rule": rule} if getattr(macros, "context", False) else {}
+        return (macros or {})[rule["macro"]](x, **{**told, **rule.get("args", {})})
     raise ValueError(f"unknown rule {kind}")
 
 

@@ -405,3 +405,15 @@ def test_paths_need_semi_structured_values(spark, store):
         from millrace.sources import scan
 
         scan.read_csv(spark, "x", True, quoting="none")
+
+
+def test_executed_rules_get_row_field_and_rule(spark, store):
+    class Before:
+        def execute(self, *, value, row, field, rule, strict=False):
+            return None if value <= row["until"] else f"{field} is after until ({rule['macro']}, {strict})"
+
+    fields = [field("account_id"), field("start", validations=[{"type": "custom", "macro": "own.before", "args": {"strict": True}}])]
+    spec = document("scd1", fields, failure_mode="quarantine_row")
+    refs = table(spark, "account_id start until", ("A1", "2026-01-01", "2026-02-01"), ("A2", "2026-03-01", "2026-02-01"), ("A3", None, "2026-02-01"))
+    Loader(spark, spec, store, references=refs, macros=Macros(registered={"own.before": Before()})).run()
+    assert rows(store, "INTERMEDIATE.ACCOUNT__QUARANTINE", "ACCOUNT_ID", "FAILURE_DETAILS") == [("A2", "start is after until (own.before, True)")]
