@@ -125,6 +125,8 @@ class Loader:
             path = self.source_path or seed.get("file") or "/".join([str(self.variables.get("csv_stage") or location.get("stage", ".")), location["filename"]])
             if "://" not in path and not path.startswith("/"):
                 path = str((self.folder / path).resolve())
+            if (s.get("upload") or {}).get("enabled") and not self.source_path:
+                self._upload(s["upload"], path)
             df = scan.read_csv(self.spark, path, s.get("header", True), delimiter=s.get("delimiter", ","), quotechar=s.get("quotechar", '"'), lineterminator=s.get("lineterminator"), quoting=s.get("quoting", "minimal"))
             if s.get("header", True):
                 problems = scan.check_header(df.columns, [(f.source.get("pos"), f.source.get("column")) for f in self.spec.fields if "pos" in f.source or "column" in f.source])
@@ -142,6 +144,15 @@ class Loader:
                 df = self._lookup(df, f)
         return df
 
+    def _upload(self, upload: dict, path: str) -> None:
+        """Copy the driver's file to where the source is read; a file that is there stays unless `overwrite`."""
+        local = upload["file"] if upload["file"].startswith("/") else str((self.folder / upload["file"]).resolve())
+        place = self.spark._jvm.org.apache.hadoop.fs.Path
+        to = place(path)
+        fs = to.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if upload.get("overwrite") or not fs.exists(to):
+            fs.copyFromLocalFile(False, True, place(f"file://{local}"), to)
+
     def _lookup(self, df: DataFrame, f: Field) -> DataFrame:
         x = f.lookup
         reference = self.relation(x["reference_entity"])

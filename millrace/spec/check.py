@@ -43,9 +43,10 @@ BLOCKS: dict[str, dict] = {
     "ordering": {"column": _TEXT, "direction": {"asc", "desc"}, "nulls": {"first", "last"}},
     "source": {
         "format": {"csv", "table"}, "header": _FLAG, "delimiter": _TEXT, "quotechar": _TEXT, "lineterminator": _TEXT, "quoting": {"minimal", "all"},
-        "load_method": {"stage", "dbt_seed"}, "location": _MAP, "seed": _MAP, "upload": _MAP, "database": _TEXT, "schema": _TEXT, "table": _TEXT,
+        "load_method": {"stage", "dbt_seed"}, "location": _MAP, "seed": _MAP, "upload": "upload", "database": _TEXT, "schema": _TEXT, "table": _TEXT,
         "query": _TEXT, "flatten": _ANY,
     },
+    "upload": {"enabled": _FLAG, "file": _TEXT, "overwrite": _FLAG},
     "target": {
         "id": _TEXT, "database": _TEXT, "schema": _TEXT, "table_name": _TEXT, "tags": _MAP, "tag_application": {"alter_table", "apply_governance"},
         "apply_governance_procedure": _TEXT, "governance_contract": _MAP, "fields": ["field"],
@@ -207,6 +208,8 @@ def _sources(spec: Spec, abstract: bool) -> list[Problem]:
     query = s.get("query")
     if query and (not re.match(r"\s*(select|with)\b", query, re.I) or ";" in query):
         out.append(("$.source.query", "must be one SELECT or WITH statement without a semicolon"))
+    if (s.get("upload") or {}).get("enabled") and not (csv and s.get("load_method") == "stage" and s["upload"].get("file")):
+        out.append(("$.source.upload", "needs a CSV source with load_method stage, and a file"))
     if csv and "seed" in s and s.get("load_method") != "dbt_seed":
         out.append(("$.source.seed", "needs load_method dbt_seed"))
     flat = s.get("flatten") or []

@@ -417,3 +417,21 @@ def test_executed_rules_get_row_field_and_rule(spark, store):
     refs = table(spark, "account_id start until", ("A1", "2026-01-01", "2026-02-01"), ("A2", "2026-03-01", "2026-02-01"), ("A3", None, "2026-02-01"))
     Loader(spark, spec, store, references=refs, macros=Macros(registered={"own.before": Before()})).run()
     assert rows(store, "INTERMEDIATE.ACCOUNT__QUARANTINE", "ACCOUNT_ID", "FAILURE_DETAILS") == [("A2", "start is after until (own.before, True)")]
+
+
+def test_files_are_uploaded_to_their_stage(spark, store, tmp_path):
+    (tmp_path / "local.csv").write_text("account_id\nA1\n")
+    stage = tmp_path / "stage"
+    source = {"format": "csv", "header": True, "load_method": "stage", "location": {"stage": f"file://{stage}", "filename": "in.csv"}, "upload": {"enabled": True, "file": "local.csv"}}
+    spec = document("scd1", [field("account_id")], source=source)
+    Loader(spark, spec, store, tmp_path).run()
+    assert rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A1",)] and (stage / "in.csv").exists()
+    (tmp_path / "local.csv").write_text("account_id\nA2\n")
+    Loader(spark, spec, store, tmp_path).run()
+    assert rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A1",)]  # it was there
+    source["upload"]["overwrite"] = True
+    Loader(spark, spec, store, tmp_path).run()
+    assert rows(store, "BUSINESS.ACCOUNT", "ACCOUNT_ID") == [("A2",)]
+    source["load_method"] = "dbt_seed"
+    with pytest.raises(Exception, match="load_method stage"):
+        Loader(spark, spec, store, tmp_path)
