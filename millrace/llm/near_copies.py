@@ -201,10 +201,11 @@ def _groups(made: DataFrame, least: float) -> DataFrame:
     texts = made.join(needed, made["class"] == needed["fp"], "left_semi").groupBy(F.col("class").alias("fp")).agg(F.min("text").alias("text"))
     texts = store.materialize(texts, "near-texts")
 
-    links = store.materialize(_linked(pairs, texts, least), "near-links")
-    found = store.materialize(components(links), "near-groups")
+    links, found = store.materialize(_linked(pairs, texts, least), "near-links"), None
 
     def labelled(rows: DataFrame) -> DataFrame:
+        if found is None:
+            return rows.withColumn("label", F.col("fp"))
         return rows.join(found, rows["fp"] == found["node"], "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label"))
 
     for k in range(HUBS):
@@ -213,11 +214,9 @@ def _groups(made: DataFrame, least: float) -> DataFrame:
         hubs = rows.groupBy("key").agg(F.min(turn).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "hub")
         pairs = rows.join(hubs, "key").filter("label <> hub.label").select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
         pairs = store.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            continue
         tested = tested.unionByName(pairs)
         held = store.materialize(_linked(pairs, texts, least), "near-links")
-        if held.isEmpty():
+        if found is not None and held.isEmpty():
             continue
         links = links.unionByName(held)
         found = store.materialize(components(links), "near-groups")
