@@ -191,9 +191,12 @@ def training_sample(docs: DataFrame, per_language: int = 300, rows: int = 6000,
                 yield pa.RecordBatch.from_arrays([*part.select(["h", "i", "y"]).columns, *made], ["h", "i", "y", "g", "n"])
 
     picked = some.filter(F.col("i").isin(sorted(chosen))).dropDuplicates(["i", "y", "t"])
-    found = picked.select("h", F.col("i").cast("string"), "y", "t").mapInArrow(present, "h long, i string, y string, g array<long>, n long").collect()
-    found = sorted(found, key=lambda r: (r.h, r.i, r.y, len(r.g), r.g))
-    return [r.g for r in found], [r.y for r in found], [r.n for r in found]
+    table = picked.select("h", F.col("i").cast("string"), "y", "t").mapInArrow(present, "h long, i string, y string, g array<long>, n long").toArrow()
+    held = [c for c in table["g"].chunks if len(c)]  # numbers stay in Arrow's memory: eight bytes each
+    grams_of = [c.values.to_numpy()[a:b] for c in held for a, b in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
+    h, i, y, n = (table[c].to_pylist() for c in ("h", "i", "y", "n"))
+    order = sorted(range(len(h)), key=lambda k: (h[k], i[k], y[k], n[k], len(grams_of[k]), grams_of[k].tobytes()))
+    return [grams_of[k] for k in order], [y[k] for k in order], [n[k] for k in order]
 
 
 def train(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
