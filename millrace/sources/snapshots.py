@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 from millrace.operators.history import without_keys
 
 _BUCKET = "_bucket"
+#: Parts of a table without keys that are read by name before an append joins them.
+MOST_PARTS = 200
 
 
 class SchemaChanged(RuntimeError):
@@ -103,6 +105,11 @@ class Snapshots:
         context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(held, p, self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
 
+    @staticmethod
+    def _more(m: dict, extra: dict | None) -> dict:
+        """What a manifest holds beside the table: the new, or else what was there."""
+        return extra if extra is not None else {k: v for k, v in m.items() if k not in ("version", "schema", "parts", "keys", "buckets")}
+
     def _expect(self, table: str, m: dict | None, base: int | None) -> None:
         if base is not None and (m or {"version": 0})["version"] != base:
             raise Conflict(f"{table} has been changed since version {base}")
@@ -170,6 +177,7 @@ class Snapshots:
         self._expect(table, m, base)
         if m is None:
             return self._commit(table, 1, df.schema, self._write(table, df, [], self.buckets), extra)
+        extra = self._more(m, extra)
         schema = StructType.fromJson(m["schema"])
         if widen:
             known = {f.name.upper() for f in schema}
@@ -183,10 +191,22 @@ class Snapshots:
         if m["keys"]:
             # appended rows of a keyed table go beside those of their buckets
             parts = {f"{k}+{uuid.uuid4().hex}": v for k, v in self._write(table, df, m["keys"], m["buckets"]).items()}
+        elif len(m["parts"]) >= MOST_PARTS:
+            # many small appends become one part, once in so many commits
+            parts = self._write(table, self.read(table, manifest={**m, "schema": json.loads(schema.json())}).unionByName(df), [], self.buckets)
+            return self._commit(table, m["version"] + 1, schema, parts, extra)
         else:
             parts = self._write(table, df, [], self.buckets)
         self._commit(table, m["version"] + 1, schema, {**m["parts"], **parts}, extra, m["keys"], m["buckets"])
 
+    def rebucket(self, table: str, buckets: int) -> None:
+        """Cut a keyed table into another number of buckets, which also joins what was appended to them."""
+        m = self.manifest(table)
+        if m is None or not m["keys"]:
+            raise LookupError(f"{table} is no table with keys")
+        rows = self.read(table, manifest=m)
+        self._commit(table, m["version"] + 1, rows.schema, self._write(table, rows, m["keys"], buckets), self._more(m, None), m["keys"], buckets)
+
     def replace_keys(self, table: str, rows: DataFrame, keys: list[str], extra: dict | None = None, match: list[str] | None = None, base: int | None = None) -> int:
         """Put rows in place of all rows of their keys (of `match`, a longer key, where given). Only the buckets of the keys
         are read and written. rows should be a written table, as they are read twice. Gives the number of buckets."""
@@ -195,6 +215,7 @@ class Snapshots:
         if m is None:
             self._commit(table, 1, rows.schema, self._write(table, rows, keys, self.buckets), extra, keys)
             return self.buckets
+        extra = self._more(m, extra)
         self._fits(table, m, rows)
         if m["keys"] != list(keys):
             on = match or keys
@@ -233,7 +254,7 @@ class Snapshots:
             stream = self._fs(p).open(p)
             live |= {v.split("/")[0] for v in json.loads(bytes(stream.readAllBytes()).decode())["parts"].values()}
             stream.close()
-        gone = [n for n in names if n.startswith("v=") and n not in live] + [f"_manifest-{n}.json" for n in numbers[:-keep]]
+        gone = [n for n in names if n.startswith("_tmp-") or n.startswith("v=") and n not in live] + [f"_manifest-{n}.json" for n in numbers[:-keep]]
         for n in gone:
             p = self._path(f"{folder}/{n}")
             self._fs(p).delete(p, True)

@@ -435,3 +435,22 @@ def test_files_are_uploaded_to_their_stage(spark, store, tmp_path):
     source["load_method"] = "dbt_seed"
     with pytest.raises(Exception, match="load_method stage"):
         Loader(spark, spec, store, tmp_path)
+
+
+def test_many_appends_become_one_part_and_buckets_change(spark, store, monkeypatch):
+    from millrace.sources import snapshots
+
+    monkeypatch.setattr(snapshots, "MOST_PARTS", 3)
+    for k in range(6):
+        store.append("A.LOG", spark.createDataFrame([(k, "x")], "k int, s string") if k < 5 else spark.createDataFrame([(k, "x", 1)], "k int, s string, more int"), widen=True)
+    assert len(store.manifest("A.LOG")["parts"]) <= 3 and sorted((r.k, r.more) for r in store.read("A.LOG").collect()) == [*((k, None) for k in range(5)), (5, 1)]
+    df = spark.range(50).selectExpr("id k", "id v")
+    store.overwrite("A.T", df, ["k"], extra={"tags": {"a": "b"}})
+    store.append("A.T", spark.createDataFrame([(7, 70)], "k bigint, v bigint"))
+    store.rebucket("A.T", 9)
+    m = store.manifest("A.T")
+    assert m["buckets"] == 9 and m["tags"] == {"a": "b"} and len(m["parts"]) <= 9 and store.read("A.T").count() == 51
+    store.replace_keys("A.T", spark.createDataFrame([(7, 700)], "k bigint, v bigint"), ["k"])
+    assert [r.v for r in store.read("A.T").filter("k = 7").collect()] == [700] and store.read("A.T").count() == 50
+    with pytest.raises(LookupError):
+        store.rebucket("A.LOG", 2)
