@@ -90,7 +90,8 @@ class Model:
             total[:, k] = np.bincount(text, self.weights[where[known], k], len(found))
         return total / np.sqrt(size)[:, None]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Languages, scores and numbers of n-grams."""
         found = [grams(t) if t and self.languages else () for t in texts]
         full = [k for k, g in enumerate(found) if len(g)]
         best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -98,7 +99,7 @@ class Model:
             scores = self.scores([found[k] for k in full])
             for k, at, value in zip(full, scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True):
                 best[k], score[k] = self.languages[at], min(1.0, max(0.0, value))
-        return best, score
+        return best, score, [len(g) for g in found]
 
 
 def fit(rows: list, labels: list[str], landmarks: int = 300, ridge: float = 0.1) -> Model:
@@ -142,11 +143,11 @@ def fit(rows: list, labels: list[str], landmarks: int = 300, ridge: float = 0.1)
     return Model(languages, used, weights)
 
 
-#: Letters of a text whose score says whether its language was learnt; of shorter ones half of that is asked.
+#: Distinct n-grams of a text whose score says whether its language was learnt; of others half of that is asked.
 LONG = 200
 
 
-def least_score(rows: list, labels: list[str], sizes: list[int], quantile: float = 0.01, share: float = 0.6, **options) -> float:
+def least_score(rows: list, labels: list[str], quantile: float = 0.01, share: float = 0.6, **options) -> float:
     """A score that long texts of no learnt language stay below: `share` of a low quantile of what those of a learnt language
     get for it from a model of the other half of the sample, for the language where that is least; 0 without long texts."""
     import numpy as np
@@ -155,20 +156,20 @@ def least_score(rows: list, labels: list[str], sizes: list[int], quantile: float
     for half in (0, 1):
         model = fit(rows[half::2], labels[half::2], **options)
         other = slice(1 - half, None, 2)
-        tested = [(g, y) for g, y, n in zip(rows[other], labels[other], sizes[other], strict=True) if len(g) and n >= LONG and y in model.languages]
+        tested = [(g, y) for g, y in zip(rows[other], labels[other], strict=True) if len(g) >= LONG and y in model.languages]
         if tested:
             for (_, y), s in zip(tested, model.scores([np.asarray(g, np.int64) for g, _ in tested]), strict=True):
                 own.setdefault(y, []).append(float(s[model.languages.index(y)]))
     return share * max(0.0, min((float(np.quantile(x, quantile)) for x in own.values()), default=0.0))
 
 
-def training_sample(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list[str], list[int]]:
-    """(n-grams, languages, numbers of letters) of the chosen texts; the rows of `docs` are those that may be learnt from."""
+def training_sample(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list, list[str]]:
+    """(n-grams, languages) of the chosen texts; the rows of `docs` are those that may be learnt from."""
     some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     some = some.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
     common = some.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # a row a language
     if not common:
-        return [], [], []
+        return [], []
     wanted = max(LEAST_TEXTS, min(per_language, rows // len(common)))
     # hashes are uniform: below this bound lie about twice the ids that are needed, however large the table is
     bound = {r.y: max(r.least, min(2**63 - 1, -(2**63) + int(2**64 * (2 * wanted + 100) / r.n))) for r in common}
@@ -186,30 +187,28 @@ def training_sample(docs: DataFrame, per_language: int = 300, rows: int = 6000,
         kind = pa.list_(pa.int64())
         for batch in batches:
             for part in slices(batch, 3, 64):
-                texts = part.column(3).to_pylist()
-                made = [pa.array([grams(t).tolist() for t in texts], kind), pa.array([letters(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.select(["h", "i", "y"]).columns, *made], ["h", "i", "y", "g", "n"])
+                made = pa.array([grams(t) for t in part.column(3).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*part.select(["h", "i", "y"]).columns, made], ["h", "i", "y", "g"])
 
     picked = some.filter(F.col("i").isin(sorted(chosen))).dropDuplicates(["i", "y", "t"])
-    table = picked.select("h", F.col("i").cast("string"), "y", "t").mapInArrow(present, "h long, i string, y string, g array<long>, n long").toArrow()
+    table = picked.select("h", F.col("i").cast("string"), "y", "t").mapInArrow(present, "h long, i string, y string, g array<long>").toArrow()
     held = [c for c in table["g"].chunks if len(c)]  # numbers stay in Arrow's memory: eight bytes each
     grams_of = [c.values.to_numpy()[a:b] for c in held for a, b in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)]
-    h, i, y, n = (table[c].to_pylist() for c in ("h", "i", "y", "n"))
-    order = sorted(range(len(h)), key=lambda k: (h[k], i[k], y[k], n[k], len(grams_of[k]), grams_of[k].tobytes()))
-    return [grams_of[k] for k in order], [y[k] for k in order], [n[k] for k in order]
+    h, i, y = (table[c].to_pylist() for c in ("h", "i", "y"))
+    order = sorted(range(len(h)), key=lambda k: (h[k], i[k], y[k], len(grams_of[k]), grams_of[k].tobytes()))
+    return [grams_of[k] for k in order], [y[k] for k in order]
 
 
 def train(docs: DataFrame, per_language: int = 300, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> Model:
     """A model from a bounded sample of the labelled rows of `docs`."""
-    found, labels, _ = training_sample(docs, per_language, rows, id_col, text_col, lang_col)
-    return fit(found, labels, **options)
+    return fit(*training_sample(docs, per_language, rows, id_col, text_col, lang_col), **options)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs with lang_pred, score and n_letters; columns of these names are replaced."""
+    """All columns of docs with lang_pred, score, n_letters and n_grams; columns of these names are replaced."""
     from pyspark.sql.types import StructType
 
-    results = StructType.fromDDL("lang_pred string, score double, n_letters long")
+    results = StructType.fromDDL("lang_pred string, score double, n_letters long, n_grams long")
     names = [c for c in docs.columns if c.lower() not in results.names]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -222,8 +221,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, text, 256):
                 texts = part.column(text).to_pylist()
-                best, value = own.predict(texts)
-                made = [pa.array(best, pa.string()), pa.array(value, pa.float64()), pa.array([letters(t or "") for t in texts], pa.int64())]
+                best, value, size = own.predict(texts)
+                made = [pa.array(best, pa.string()), pa.array(value, pa.float64()), pa.array([letters(t or "") for t in texts], pa.int64()), pa.array(size, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, *results.names])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, *results.fields]))

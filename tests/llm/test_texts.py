@@ -210,7 +210,8 @@ def test_kernel_scores_equal_the_plain_formula():
     weight = (target @ (1 / target.sum(axis=0)))[:, None]
     f = near @ root
     scores = f @ np.linalg.solve(f.T @ (weight * f) + 0.1 / 30 * np.eye(f.shape[1]), f.T @ (weight * target))
-    best, score = model.predict(texts)
+    best, score, size = model.predict(texts)
+    assert size == [len(x) for x in sets]
     assert best == [("p", "q")[k] for k in scores.argmax(axis=1)] and np.allclose(score, np.clip(scores.max(axis=1), 0, 1))
 
 
@@ -243,10 +244,11 @@ def test_texts_of_no_learnt_language_go(spark, sf):
     polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
     junk = base64.b64encode(random.Random(3).randbytes(3000)).decode()
     odd = [finnish * 3, polish * 3, junk, "x" * 300, None, "1 2 3", "漢字かな" * 20]
-    extra = spark.createDataFrame([(90000 + k, t, None, "x", 0) for k, t in enumerate(odd)] + [(80000, "Re.", None, "x", 3)], docs.schema)
+    word = max(re.findall("[A-Za-z]+", docs.filter("lang = 'fr'").first().text), key=len)
+    extra = spark.createDataFrame([(90000 + k, t, None, "x", 0) for k, t in enumerate(odd)] + [(80000, "Re.", None, "x", 3), (80001, (word + " ") * 900, None, "x", 3)], docs.schema)
     stage = corpus_pipeline.STAGES[0][1]
     kept = {r.doc_id for r in stage(spark, docs.unionByName(extra), sf).select("doc_id").collect()}
-    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {80000}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {80000, 80001}
     from pyspark.sql import functions as F
 
     clashing = docs.withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1)).withColumn("row", F.lit(2)).withColumn("n_letters", F.lit(3))
