@@ -19,12 +19,13 @@ LEAST_SIMILARITY = 0.8
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt. Those go that have no letter, and those that score less in every language than
-    its own texts ever would (`language_id.least_score`, by cross-validation) unless they are very short."""
-    rows, labels, sizes = language_id.training_sample(docs.filter(~language_id.held_out()))
-    model, least = language_id.fit(rows, labels), language_id.least_score(rows, labels, sizes)
+    its own texts ever would (`language_id.least_score`, by cross-validation; half of that where a text has few n-grams)
+    unless they are very short."""
+    rows, labels = language_id.training_sample(docs.filter(~language_id.held_out()))
+    model, least = language_id.fit(rows, labels), language_id.least_score(rows, labels)
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     found = language_id.predict(kept, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
-    asked = F.when(F.col("n_letters") >= language_id.LONG, least).when(F.col("n_letters") >= LEAST_LETTERS, least / 2).otherwise(0.0)
+    asked = F.when(F.col("n_grams") >= language_id.LONG, least).when(F.col("n_letters") >= LEAST_LETTERS, least / 2).otherwise(0.0)
     return found.filter(F.col("score") >= asked).select("row.*")
 
 
