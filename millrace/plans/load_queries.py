@@ -56,7 +56,10 @@ def load_csv(spark, d):
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
     path = _write_csv(c, store, sep=";", quote='"', escape='"', header=True, quoteAll=True)
     fields = [_field("id", "id", "bigint"), {"id": "label", "source": {"pos": 1, "column": "label"}, "data_type": "text"}, {"id": "balance", "source": {"pos": 2}, "data_type": "number(12,2)"}, {"id": "origin", "source": {"fixed_value": "file"}, "data_type": "text"}]
-    _run(spark, store, _csv_spec(path, fields, header=True, delimiter=";", quoting="all"))
+    stage, _, file = path.rpartition("/")
+    spec = _csv_spec(path, fields, header=True, delimiter=";", quoting="all", load_method="stage", location={"stage": stage, "filename": file})
+    del spec["source"]["seed"]
+    _run(spark, store, spec)
     return store.read("OUT.T").select("ID", "LABEL", "BALANCE", "ORIGIN")
 
 
