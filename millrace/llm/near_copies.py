@@ -148,7 +148,7 @@ def block_links(sets: list, label, sides, least: float):
 def _crowds(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): links between classes of different groups that share a bucket. rest: key, fp, label of all members of buckets
     that hold several groups."""
-    star = rest.groupBy("key").agg(F.min("fp").alias("a")).join(rest, "key").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    star = rest.groupBy("key").agg(F.min("fp").alias("a")).hint("merge").join(rest, "key").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
     members = rest.groupBy("fp").agg(F.min("label").alias("label"))
     placed = store.materialize(members.join(components(star), F.col("fp") == F.col("node")).select("fp", "label", F.col("component").alias("crowd")), "near-crowds")
     sizes = placed.groupBy("crowd").agg(F.count(F.lit(1)).alias("n"))
@@ -208,11 +208,11 @@ def _groups(made: DataFrame, least: float) -> DataFrame:
             return rows.withColumn("label", F.col("fp"))
         return rows.join(found, rows["fp"] == found["node"], "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label"))
 
-    for k in range(HUBS):
+    for k in range(HUBS):  # merge joins: Spark splits a bucket that very many classes share
         rows = labelled(buckets)
         turn = F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), F.col("fp").alias("fp"), F.col("label").alias("label"))
         hubs = rows.groupBy("key").agg(F.min(turn).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", "hub")
-        pairs = rows.join(hubs, "key").filter("label <> hub.label").select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
+        pairs = rows.join(hubs.hint("merge"), "key").filter("label <> hub.label").select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct()
         pairs = store.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
         held = store.materialize(_linked(pairs, texts, least), "near-links")
@@ -222,7 +222,7 @@ def _groups(made: DataFrame, least: float) -> DataFrame:
         found = store.materialize(components(links), "near-groups")
     rows = labelled(buckets.filter("n > 2"))  # of two the first hub has compared both
     mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = store.materialize(rows.join(mixed, "key").select("key", "fp", "label"), "near-rest")
+    rest = store.materialize(rows.join(mixed.hint("merge"), "key").select("key", "fp", "label"), "near-rest")
     if rest.isEmpty():
         return found
     held = store.materialize(_crowds(rest, texts, least), "near-links")
