@@ -21,7 +21,8 @@ class HistoryError(RuntimeError):
 
 @dataclass(frozen=True)
 class History:
-    """Names and policies of a history table. `kind`: auto (load time) or derived (source time)."""
+    """Names and policies of a history table. `kind`: auto (load time) or derived (source time). `by_order`: of versions of
+    one start the configured order decides, whichever came first; its columns are kept in the target."""
 
     keys: tuple[str, ...]
     kind: str = "auto"
@@ -35,6 +36,7 @@ class History:
     offset: str = "interval 1 microsecond"
     end: str = END
     order: tuple[tuple[str, str, str], ...] = field(default=())  # (column, asc or desc, first or last)
+    by_order: bool = False
 
     def __post_init__(self):
         if self.dates and self.offset == "interval 1 microsecond":
@@ -62,13 +64,17 @@ def _deleted(alias: str, h: History) -> Column:
 
 def suppress_unchanged(incoming: DataFrame, existing: DataFrame, h: History) -> DataFrame:
     """Incoming rows that say something new. A derived history drops versions that are there already; both kinds drop
-    rows equal to the current version that do not begin before it."""
+    rows equal to the current version that do not begin before it. By order, a version is there already if its order is, too."""
     n, e = incoming.alias("n"), existing.alias("e")
     equal = _same("n", "e", [*h.keys, h.hash]) & (_deleted("n", h) == _deleted("e", h))
     if h.kind == "derived":
-        n = n.join(e, equal & (F.col(f"n.{h.valid_from}") == F.col(f"e.{h.valid_from}")), "left_anti").alias("n")
+        there = equal & (F.col(f"n.{h.valid_from}") == F.col(f"e.{h.valid_from}"))
+        for c in [c for c, _, _ in h.order] if h.by_order else []:
+            there = there & F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}"))
+        n = n.join(e, there, "left_anti").alias("n")
     now = existing.filter(F.col(h.current) == "Y").alias("e")
-    return n.join(now, equal & (F.col(f"n.{h.valid_from}") >= F.col(f"e.{h.valid_from}")), "left_anti")
+    a, b = F.col(f"n.{h.valid_from}"), F.col(f"e.{h.valid_from}")
+    return n.join(now, equal & ((a > b) if h.by_order else (a >= b)), "left_anti")
 
 
 def _order(h: History) -> list[Column]:
@@ -79,8 +85,10 @@ def _order(h: History) -> list[Column]:
 
 
 def one_version(rows: DataFrame, h: History, existing: str = "_existing") -> DataFrame:
-    """One row for each key and start: incoming before existing, then the configured order, then the hash."""
-    order = [F.col(existing).asc(), *_order(h), F.col(h.hash).desc()]
+    """One row for each key and start: incoming before existing, then the configured order, then the hash; by order, incoming
+    before existing only where order and hash are equal."""
+    came, order = F.col(existing).asc(), [*_order(h), F.col(h.hash).desc()]
+    order = [*order, came] if h.by_order else [came, *order]
     nth = F.row_number().over(Window.partitionBy(*h.keys, h.valid_from).orderBy(*order))
     return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 

@@ -16,7 +16,7 @@ import re
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -69,10 +69,11 @@ class Loader:
 
     store: the tables. folder: where relative files of the specification are. source_path: another CSV file. references:
     tables by name that a lookup or a query may read beside those of the store and the catalog. fault: called before the
-    commit (tests).
+    commit (tests). by_order: between loads, too, the order of duplicates decides which version of a start stays; without an
+    order, and else, that of the later load does.
     """
 
-    def __init__(self, spark: SparkSession, spec: Spec | dict, store: Snapshots, folder: str | Path = ".", variables: dict | None = None, macros: Macros | None = None, source_path: str | None = None, references: dict[str, DataFrame] | None = None, run_at: datetime | None = None, job_id: str | None = None, spec_name: str | None = None, governance: Callable[[str], None] | None = None, fault: Callable[[], None] | None = None, source: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, spec: Spec | dict, store: Snapshots, folder: str | Path = ".", variables: dict | None = None, macros: Macros | None = None, source_path: str | None = None, references: dict[str, DataFrame] | None = None, run_at: datetime | None = None, job_id: str | None = None, spec_name: str | None = None, governance: Callable[[str], None] | None = None, fault: Callable[[], None] | None = None, source: DataFrame | None = None, by_order: bool = False):
         self.spark, self.store = spark, store.own()
         self.spec = spec if isinstance(spec, Spec) else require(spec)
         self.folder, self.variables = Path(folder), variables or {}
@@ -83,6 +84,12 @@ class Loader:
         self.spec_name, self.governance, self.fault = spec_name, governance, fault
         self.process_key = str(self.variables.get("audit_data_process_key", "manual"))
         self.high, self.base = None, None
+        h = self.spec.history
+        self.history = replace(h, by_order=by_order and bool(h.order))
+        if self.history.by_order:
+            lost = {c for c, _, _ in h.order} - {f.name for f in self.spec.fields} - {h.valid_from}
+            if lost:
+                raise ValueError(f"deduplicate: order between loads needs target fields, which {', '.join(sorted(lost))} is not")
 
     # ---- sources
 
@@ -311,7 +318,7 @@ class Loader:
         if self.spec.manual:
             return self._manual_rows(valid)
         rows = self.incoming(valid)
-        return self._versions(H.merge(self.existing(rows, self.store.manifest(self.spec.table), whole=False), rows, self.spec.history)).select(*self._columns())
+        return self._versions(H.merge(self.existing(rows, self.store.manifest(self.spec.table), whole=False), rows, self.history)).select(*self._columns())
 
     def run(self) -> Report:
         """Load and record it; what goes wrong is recorded and raised."""
@@ -391,7 +398,7 @@ class Loader:
         return lambda: self.store.overwrite(self.spec.table, rows, extra=self._extra())
 
     def _commit_history(self, valid: DataFrame, report: Report):
-        spec, h = self.spec, self.spec.history
+        spec, h = self.spec, self.history
         incoming = self.incoming(valid)
         mode = spec.window_mode
         m = self.store.manifest(spec.table)

@@ -305,6 +305,30 @@ def test_stream_of_loads(spark, store, tmp_path):
     assert rows(store, loads.BATCHES, "QUERY", "BATCH") == [("q", "1")]
 
 
+@pytest.mark.parametrize("arrival", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_stream_orders_versions_of_one_start_whatever_the_batch(spark, store, tmp_path, arrival):
+    """A1: three contents; A2: one content, whose order is no part of the hash; A3: nulls last; A4: equal order, by hash."""
+    names, source, start = "account_id string, state string, changed string, seq bigint", tmp_path / "stream", "2026-01-01 00:00:00"
+    batches = [[("A1", "a", 3), ("A2", "a", 1), ("A3", "a", None), ("A4", "a", 1)], [("A1", "b", 2), ("A2", "a", 3), ("A3", "b", 1), ("A4", "b", 1)], [("A1", "c", 1), ("A2", "b", 2), ("A4", "c", 1)]]
+    spec = document("scd2_derived", [field("account_id"), field("state"), field("seq", "bigint")], scd={"validity": {"valid_from": {"source": {"column": "changed"}}}, "deduplicate": {"order_by": [{"column": "seq"}]}}, business_data_hash={"fields": ["seq"]})
+    data = [[(k, v, start, n) for k, v, n in batch] for batch in batches]
+    for i in arrival:
+        spark.createDataFrame(data[i], names).coalesce(1).write.mode("append").json(str(source))
+        loads.start(spark.readStream.schema(names).json(str(source)), require(spec), store, str(tmp_path / "cp"), "q").awaitTermination()
+    once = Snapshots(spark, str(tmp_path / "once"), buckets=4)
+    Loader(spark, spec, once, source=spark.createDataFrame(sum(data, []), names)).run()
+    columns = ("ACCOUNT_ID", "STATE", "SEQ", "IS_CURRENT_FLAG", "VALID_TO_DATETIME")
+    got = rows(store, "BUSINESS.ACCOUNT", *columns)
+    assert got == rows(once, "BUSINESS.ACCOUNT", *columns)
+    assert [r[1:3] for r in got][:3] == [("a", "3"), ("a", "3"), ("b", "1")]
+
+
+def test_stream_needs_its_order_in_the_target(spark, store, tmp_path):
+    stream = spark.readStream.schema("account_id string, state string, changed string, seq bigint").json(str(tmp_path))
+    with pytest.raises(ValueError, match="SEQ"):
+        loads.start(stream, require(derived(deduplicate={"order_by": [{"column": "seq"}]})), store, str(tmp_path / "cp"), "q")
+
+
 def test_empty_source_and_plan(spark, store):
     load(spark, store, auto(), "account_id account_value", ("A1", "1"))
     refs = table(spark, "account_id account_value", ("A1", "1"))
