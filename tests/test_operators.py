@@ -171,3 +171,18 @@ def test_rounding_decides_by_the_digits(spark):
                 with decimal.localcontext(prec=60):
                     want = decimal.Decimal(texts[r.k].strip()).quantize(decimal.Decimal(1).scaleb(-scale), mode)
                 assert r[m] == f"{want if want else abs(want):f}", (texts[r.k], scale, m)
+
+
+def test_short_numbers_are_rounded_by_few_patterns(spark):
+    """Rounding is compiled and asks few patterns a value; short and long ways agree; a number that grows to 39 digits is null."""
+    values = ["1.25", "-1.35", "+.5", "5.", "-0.04", "007.05", " 2.25", "2.25" + "0" * 20, "9.99", "9" * 38 + ".5", "x", "-", "", None]
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    modes = ("half_up", "half_even", "down", "up")
+    df = df.select("x", *[transforms.round_number(F.col("x"), 1 if m != "half_up" else 0, m).alias(m) for m in modes])
+    got = {r.x: tuple(r)[1:] for r in df.collect()}
+    assert got["1.25"] == ("1", "1.2", "1.2", "1.3") and got["-1.35"] == ("-1", "-1.4", "-1.3", "-1.4") and got["-0.04"] == ("0", "0.0", "0.0", "-0.1")
+    assert got["+.5"] == ("1", "0.5", "0.5", "0.5") and got["5."] == ("5", "5.0", "5.0", "5.0") and got["007.05"] == ("7", "7.0", "7.0", "7.1")
+    assert got[" 2.25"] == got["2.25" + "0" * 20] == ("2", "2.2", "2.2", "2.3") and got["9.99"] == ("10", "10.0", "9.9", "10.0")
+    assert got["9" * 38 + ".5"][0] is None and {got[v] for v in ("x", "-", "", None)} == {(None,) * 4}
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_extract" not in plan and plan.count("rlike") <= 2 * len(modes)
