@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import keys
+
 START, END = "0001-01-01 00:00:00", "9999-12-31 23:59:59"
 
 
@@ -87,7 +89,10 @@ def _order(h: History) -> list[Column]:
 def one_version(rows: DataFrame, h: History, existing: str = "_existing") -> DataFrame:
     """One row for each key and start: incoming before existing, then the configured order, then the hash; by order, incoming
     before existing only where order and hash are equal."""
-    came, order = F.col(existing).asc(), [*_order(h), F.col(h.hash).desc()]
+    state = F.col(h.hash)
+    if rows.schema[h.hash].dataType.typeName() == "binary":
+        state = keys.unpacked(state)
+    came, order = F.col(existing).asc(), [*_order(h), state.desc()]
     order = [*order, came] if h.by_order else [came, *order]
     nth = F.row_number().over(Window.partitionBy(*h.keys, h.valid_from).orderBy(*order))
     return rows.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
@@ -120,7 +125,8 @@ def merge(existing: DataFrame, incoming: DataFrame, h: History) -> DataFrame:
     columns = [c for c in existing.columns if c not in (h.valid_to, h.current)]
     changes = suppress_unchanged(incoming.select(*columns), existing, h).withColumn("_existing", F.lit(0))
     affected = existing.join(changes.select(*h.keys).distinct(), list(h.keys), "left_semi").select(*columns).withColumn("_existing", F.lit(1))
-    rows = collapse_boundaries(one_version(affected.unionByName(changes), h), h)
+    # dealt by key before the first window, which would deal by key and start
+    rows = collapse_boundaries(one_version(affected.unionByName(changes).repartition(*h.keys), h), h)
     return windows(rows, h).drop("_existing").select(*existing.columns)
 
 

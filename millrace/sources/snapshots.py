@@ -17,6 +17,8 @@ import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,8 @@ from pyspark.sql.types import StructType
 from millrace.operators.history import without_keys
 
 _BUCKET = "_bucket"
+#: Of files: hashes take half the bytes of the default's.
+_CODEC = "zstd"
 #: Parts of a table without keys that are read by name before an append joins them.
 MOST_PARTS = 200
 
@@ -38,6 +42,16 @@ class Conflict(RuntimeError):
     """Another writer committed first."""
 
 
+@dataclass(frozen=True)
+class Narrow:
+    """How rows are moved with fewer bytes than they are stored with: rows of the table to narrow ones, these to rows of the
+    table (other columns stay), and a key column of narrow rows as it is stored. Equal keys are equal when narrow."""
+
+    narrow: Callable[[DataFrame], DataFrame]
+    whole: Callable[[DataFrame], DataFrame]
+    key: Callable[[str], Column]
+
+
 class Snapshots:
     """Tables `schema.table` in a folder that driver and executors share."""
 
@@ -134,18 +148,22 @@ class Snapshots:
 
     # ---- writing
 
-    def _bucket(self, keys: list[str], n: int) -> Column:
+    def _bucket(self, keys: list[str | Column], n: int) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
-    def _write(self, table: str, df: DataFrame, keys: list[str], buckets: int) -> dict[str, str]:
-        """Parts by bucket, or one part named by the folder. A folder is never used twice, so that lost tries do no harm."""
+    def _write(self, table: str, df: DataFrame, keys: list[str], buckets: int, form: Narrow | None = None) -> dict[str, str]:
+        """Parts by bucket, or one part named by the folder. A folder is never used twice, so that lost tries do no harm.
+        With a form df is narrow; its rows become whole after they have been moved and sorted."""
         folder = f"v={uuid.uuid4().hex}"
         path = f"{self.dir(table)}/{folder}"
         if not keys:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=_CODEC)
             return {folder: folder}
         # rebalance splits buckets that are too large for a task and joins small ones
-        df.withColumn(_BUCKET, self._bucket(keys, buckets)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(path)
+        df = df.withColumn(_BUCKET, self._bucket([form.key(k) for k in keys] if form else keys, buckets)).hint("rebalance", _BUCKET)
+        if form:
+            df = form.whole(df.sortWithinPartitions(_BUCKET, *keys))
+        df.write.partitionBy(_BUCKET).parquet(path, compression=_CODEC)
         return {n.split("=")[1]: f"{folder}/{n}" for n in self._names(path) if n.startswith(f"{_BUCKET}=")}
 
     def _fits(self, table: str, m: dict | None, df: DataFrame) -> None:
@@ -163,13 +181,14 @@ class Snapshots:
         found = {str(r[0]) for r in rows.select(self._bucket(m["keys"], m["buckets"])).distinct().collect()}
         return [k for k in m["parts"] if k.split("+")[0] in found]
 
-    def overwrite(self, table: str, df: DataFrame, keys: list[str] = (), extra: dict | None = None, same_schema: bool = False, base: int | None = None) -> None:
-        """Replace the whole table; df may read the table itself."""
+    def overwrite(self, table: str, df: DataFrame, keys: list[str] = (), extra: dict | None = None, same_schema: bool = False, base: int | None = None, form: Narrow | None = None) -> None:
+        """Replace the whole table; df may read the table itself. With a form df is narrow."""
         m = self.manifest(table)
         self._expect(table, m, base)
         if same_schema:
             self._fits(table, m, df)
-        self._commit(table, (m or {"version": 0})["version"] + 1, df.schema, self._write(table, df, list(keys), self.buckets), extra, keys)
+        schema = (form.whole(df) if form else df).schema
+        self._commit(table, (m or {"version": 0})["version"] + 1, schema, self._write(table, df, list(keys), self.buckets, form), extra, keys)
 
     def append(self, table: str, df: DataFrame, widen: bool = False, extra: dict | None = None, base: int | None = None) -> None:
         """Add rows. With widen, new columns are added to the table, and its own that df lacks are null."""
@@ -207,33 +226,36 @@ class Snapshots:
         rows = self.read(table, manifest=m)
         self._commit(table, m["version"] + 1, rows.schema, self._write(table, rows, m["keys"], buckets), self._more(m, None), m["keys"], buckets)
 
-    def replace_keys(self, table: str, rows: DataFrame, keys: list[str], extra: dict | None = None, match: list[str] | None = None, base: int | None = None) -> int:
+    def replace_keys(self, table: str, rows: DataFrame, keys: list[str], extra: dict | None = None, match: list[str] | None = None, base: int | None = None, form: Narrow | None = None) -> int:
         """Put rows in place of all rows of their keys (of `match`, a longer key, where given). Only the buckets of the keys
-        are read and written. rows should be a written table, as they are read twice. Gives the number of buckets."""
+        are read and written. rows should be a written table, as they are read twice; with a form they are narrow, and match, if
+        given, is of columns that are stored as they are. Gives the number of buckets."""
         m = self.manifest(table)
         self._expect(table, m, base)
+        shown = form.whole(rows) if form else rows
         if m is None:
-            self._commit(table, 1, rows.schema, self._write(table, rows, keys, self.buckets), extra, keys)
+            self._commit(table, 1, shown.schema, self._write(table, rows, keys, self.buckets, form), extra, keys)
             return self.buckets
         extra = self._more(m, extra)
-        self._fits(table, m, rows)
+        self._fits(table, m, shown)
+        narrow = form.narrow if form else lambda df: df
         if m["keys"] != list(keys):
             on = match or keys
-            kept = without_keys(self.read(table, manifest=m), rows, on)
-            self._commit(table, m["version"] + 1, rows.schema, self._write(table, kept.unionByName(rows), keys, self.buckets), extra, keys)
+            kept = without_keys(narrow(self.read(table, manifest=m)), rows, on)
+            self._commit(table, m["version"] + 1, shown.schema, self._write(table, kept.unionByName(rows), keys, self.buckets, form), extra, keys)
             return self.buckets
-        live = self.touched(m, rows)
+        live = self.touched(m, shown)
         if rows.isEmpty():
             return 0
-        kept = without_keys(self.read(table, only=live, manifest=m), rows, match or keys)
-        parts = self._write(table, kept.unionByName(rows.select(*kept.columns)), keys, m["buckets"])
-        self._commit(table, m["version"] + 1, rows.schema, {**{k: v for k, v in m["parts"].items() if k not in live}, **parts}, extra, keys, m["buckets"])
+        kept = without_keys(narrow(self.read(table, only=live, manifest=m)), rows, match or keys)
+        parts = self._write(table, kept.unionByName(rows.select(*kept.columns)), keys, m["buckets"], form)
+        self._commit(table, m["version"] + 1, shown.schema, {**{k: v for k, v in m["parts"].items() if k not in live}, **parts}, extra, keys, m["buckets"])
         return len({k.split("+")[0] for k in live})
 
     def stage(self, label: str, df: DataFrame) -> DataFrame:
         """df written beside the tables and read again: it is used several times, and lost executors cost nothing."""
         path = f"{self.root}/_stage/{label.upper()}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=_CODEC)
         self.staged.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
